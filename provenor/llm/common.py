@@ -63,3 +63,35 @@ def fold(id_col: Column, modulus: int) -> Column:
 def text_of(col: str = "text") -> Column:
     """Null text counts as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def bounded_sample(rows: DataFrame, stratum: str, cap: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``cap`` rows of each value of ``stratum``, at most twice as many: those whose hashed id is least.
+
+    The strata are counted first; the share that a stratum may keep is a literal, so
+    no window or sort gathers a stratum. For fitting classifiers only.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(stratum).agg(F.count("*")).collect() if r[0] is not None}
+    if not counts:
+        return rows.limit(0)
+    share = F.lit(0.0)
+    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
+        share = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, cap / n))).otherwise(share)
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(place < share).limit(2 * cap * len(counts))
+
+
+class Memo(dict):
+    """A dict that computes missing values and is emptied when it has grown to ``limit``.
+
+    For what is a function of the word alone; it bounds a Python worker's memory.
+    """
+
+    def __init__(self, of, limit: int = 300_000):
+        self.of, self.limit = of, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.of(key)
+        return value

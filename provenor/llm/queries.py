@@ -5,8 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import exact_dedup, fingerprint
-from provenor.llm.common import documents
+from provenor.llm import bpe, exact_dedup, fingerprint, langid, quality, toxicity
+from provenor.llm.common import documents, fold, labels
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings from the labels: 0 poor, 1 good but toxic, 2 good; rows with crc32 mod 3 = 1 are held out."""
+    docs, marks = documents(spark, sf_dir), labels(spark, sf_dir)
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    ratings = marks.select("doc_id", grade.alias("grade"))
+    model = quality.fit(docs, ratings, fold(ratings["doc_id"], 3) != 1, grades=3)
+    scored = quality.score(docs, model, select_from=1, least=0.5)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "expected_grade", "tail_prob", "selected")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, marks = documents(spark, sf_dir), labels(spark, sf_dir)
+    model = toxicity.fit(docs, marks, fold(marks["doc_id"], 3) != 1)
+    scored = toxicity.score(docs, model, threshold=0.7)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, fold(docs["doc_id"], 4) != 2)
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +58,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality": op2_quality,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
     "op6_fingerprint": op6_fingerprint,
     "op8_exact_dedup": op8_exact_dedup,
 }
