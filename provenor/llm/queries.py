@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import bpe, exact_dedup, fingerprint, langid, quality, toxicity
+from provenor.llm import bpe, exact_dedup, fingerprint, langid, packing, quality, toxicity
 from provenor.llm.common import documents, fold, labels
 
 
@@ -52,6 +52,12 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.substring("digest", 1, 64).alias("text_sha256"))
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_fingerprint": op6_fingerprint,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
