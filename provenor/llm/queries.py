@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import bpe, exact_dedup, fingerprint, langid, packing, quality, toxicity
+from provenor.llm import bpe, exact_dedup, fingerprint, langid, packing, quality, simhash, toxicity
 from provenor.llm.common import documents, fold, labels
 
 
@@ -63,6 +63,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.substring("digest", 1, 64).alias("text_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(documents(spark, sf_dir), words=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_fingerprint": op6_fingerprint,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
