@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import bpe, exact_dedup, fingerprint, langid, packing, quality, simhash, toxicity
+from provenor.llm import bpe, exact_dedup, fingerprint, langid, lm, packing, quality, simhash, toxicity
 from provenor.llm.common import documents, fold, labels
 
 
@@ -68,6 +68,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = lm.score(docs, fold(docs["doc_id"], 7) != 2)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
@@ -77,6 +83,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL = {
