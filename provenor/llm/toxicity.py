@@ -24,13 +24,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenor.llm.common import Memo, bounded_sample
+from provenor.llm.common import bounded_sample
+from provenor.llm.letters import FACTORS, HashTable, letters
 
-LETTERS = regex.compile(r"\p{L}+")
+#: Stands before and after each word.
+EDGE = " "
 ORDER, DISCOUNT = 5, 0.75
 WINDOWS = (1, 4, 16)
 #: A letter that the counts don't have gets this share of the uniform distribution.
@@ -45,7 +46,7 @@ class ClassModels:
         full = [Counter(), Counter()]
         lower: set[str] = set()
         for w, pair in words.items():
-            s = f"^{w}$"
+            s = f"{EDGE}{w}{EDGE}"
             for end in range(2, len(s) + 1):
                 gram = s[max(0, end - order) : end]
                 for c in (0, 1):
@@ -87,54 +88,90 @@ class ClassModels:
             self._shared_memo[gram] = got
         return got
 
-    def ratio(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        s, out = f"^{word}$", 0.0
-        for end in range(2, len(s) + 1):
-            gram = s[max(0, end - self.order) : end]
-            below = self.shared(gram[1:])
-            p = []
-            for c in (0, 1):
-                total, kinds = self.context[c].get(gram[:-1], (0, 0))
-                p.append(below if not total else (max(self.full[c].get(gram, 0) - DISCOUNT, 0) + DISCOUNT * kinds * below) / total)
-            out += math.log(p[1] / p[0])
-        return out
-
-    def token(self, token: str) -> tuple[float, int]:
-        runs = LETTERS.findall(token)
-        return sum(map(self.ratio, runs)), sum(len(r) + 1 for r in runs)
-
-
-def features(text: str | None, memo: dict[str, tuple[float, int]]) -> list[float]:
+    def ratio(self, gram: str) -> float:
+        """log P(a gram's last letter | the others, toxic) - log P(it | the others, ordinary)."""
+        below, p = self.shared(gram[1:]), []
+        for c in (0, 1):
+            total, kinds = self.context[c].get(gram[:-1], (0, 0))
+            p.append(below if not total else (max(self.full[c].get(gram, 0) - DISCOUNT, 0) + DISCOUNT * kinds * below) / total)
+        return math.log(p[1] / p[0])
+
+    def tables(self) -> Ratios:
+        """All that the ratio can be: by gram where a class has seen it, else by context, else 0.
+
+        A gram that no class has seen is backed off by both to the same shared probability;
+        what remains is how much each class leaves to the backoff after that context.
+        """
+        grams = sorted(set(self.full[0]) | set(self.full[1]))
+        contexts = sorted(set(self.context[0]) | set(self.context[1]))
+        left = []
+        for x in contexts:
+            (t0, k0), (t1, k1) = (self.context[c].get(x, (0, 0)) for c in (0, 1))
+            left.append(math.log((DISCOUNT * k1 / t1 if t1 else 1.0) / (DISCOUNT * k0 / t0 if t0 else 1.0)))
+        return Ratios(self.order, HashTable(_keys(grams, 0), np.array([self.ratio(g) for g in grams], np.float32)), HashTable(_keys(contexts, 1), np.array(left, np.float32)))
+
+
+def _keys(grams: list[str], last: int) -> np.ndarray:
+    """Hashes of grams; ``last``: how far their last symbol is from the predicted one."""
+    out = np.zeros(len(grams), np.uint64)
+    for i, g in enumerate(grams):
+        k = 0
+        for j, ch in enumerate(reversed(g)):
+            k += (1 if ch == EDGE else ord(ch) + 1) * int(FACTORS[j + last])
+        out[i] = k & (2**64 - 1)
+    return out
+
+
+class Ratios:
+    def __init__(self, order: int, grams: HashTable, contexts: HashTable):
+        self.order, self.grams, self.contexts = order, grams, contexts
+
+    def words(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The evidence and the number of predicted letters (with the end) of each word."""
+        s = letters(text).astype(np.uint64)
+        n = len(s) - 1
+        if n < 1:
+            return np.zeros(0), np.zeros(0)
+        context, valid = s[:-1] * FACTORS[1], np.ones(n, bool)
+        for j in range(2, min(self.order, n + 1)):
+            # one symbol further back, unless the word begins in between
+            valid[: j - 1] = False
+            valid[j - 1 :] &= s[1 : n - j + 2] != 1
+            context[j - 1 :] += np.where(valid[j - 1 :], s[: n - j + 1], 0) * FACTORS[j]
+        got = self.grams.find(context + s[1:] * FACTORS[0])
+        lost = np.flatnonzero(np.isnan(got))
+        got[lost] = self.contexts.find(context[lost], 0.0)
+        ends = np.flatnonzero(s[1:] == 1)
+        total = np.concatenate([[0.0], got.cumsum(dtype=float)])[ends + 1]
+        return np.diff(total, prepend=0.0), np.diff(ends, prepend=-1).astype(float)
+
+
+def words_of(text: str | None) -> list[str]:
+    return "".join(" " if x == 1 else chr(x - 1) for x in letters(text).tolist()).split(" ")[1:-1]
+
+
+def features(text: str | None, ratios: Ratios) -> list[float]:
     """The text's length-normalised evidence: mean, and the strongest window of each width."""
-    got = [memo[w] for w in (text or "").lower().split()]
-    if not got:
+    evidence, size = ratios.words(text)
+    if not len(evidence):
         return [0.0] * (1 + len(WINDOWS))
-    a = np.array(got)
-    total = np.concatenate([np.zeros((1, 2)), a.cumsum(0)])
-    out = [total[-1, 0] / max(total[-1, 1], 1)]
+    e, n = np.concatenate([[0.0], evidence.cumsum()]), np.concatenate([[0.0], size.cumsum()])
+    out = [e[-1] / n[-1]]
     for w in WINDOWS:
-        k = min(w, len(a))
-        part = total[k:] - total[:-k]
+        k = min(w, len(evidence))
         # windows of few letters are no surer than long ones: at least four letters a word count
-        out.append(float((part[:, 0] / np.maximum(part[:, 1], 4 * k)).max()))
+        out.append(float(((e[k:] - e[:-k]) / np.maximum(n[k:] - n[:-k], 4 * k)).max()))
     return out
 
 
 class ToxicityModel:
-    def __init__(self, classes: ClassModels | None, weights: np.ndarray, shift: np.ndarray, scale: np.ndarray):
-        self.classes, self.weights, self.shift, self.scale = classes, weights, shift, scale
-        self._memo = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_memo": None}
+    def __init__(self, ratios: Ratios | None, weights: np.ndarray, shift: np.ndarray, scale: np.ndarray):
+        self.ratios, self.weights, self.shift, self.scale = ratios, weights, shift, scale
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        if self.classes is None:
+        if self.ratios is None:
             return np.zeros(len(texts))
-        if self._memo is None:
-            self._memo = Memo(self.classes.token, 400_000)
-        x = np.array([features(t, self._memo) for t in texts]).reshape(len(texts), -1)
+        x = np.array([features(t, self.ratios) for t in texts]).reshape(len(texts), -1)
         return squash((x - self.shift) / self.scale @ self.weights[:-1] + self.weights[-1])
 
 
@@ -166,21 +203,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000
         for b in batches:
             for later, toxic, text in zip(*(b.column(n).to_pylist() for n in ("later", "toxic", "text")), strict=True):
                 if not later:
-                    found[int(toxic > 0)].update(LETTERS.findall((text or "").lower()))
+                    found[int(toxic > 0)].update(words_of(text))
         for c, words in found.items():
             yield pa.record_batch({"toxic": pa.array([c] * len(words), pa.int32()), "word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
     table = texts.mapInArrow(count, "toxic int, word string, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t")).toArrow().sort_by("word")
     words = dict(zip(table.column("word").to_pylist(), zip(table.column("o").to_pylist(), table.column("t").to_pylist(), strict=True), strict=True))
-    classes = ClassModels(words)
+    ratios = ClassModels(words).tables()
     del words, table
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def look(batches):
-        memo = Memo(shared.value.token, 400_000)
+        ratios = shared.value
         for b in batches:
             later = [(t, x) for z, t, x in zip(*(b.column(n).to_pylist() for n in ("later", "toxic", "text")), strict=True) if z]
-            yield pa.record_batch({"toxic": pa.array([int(t > 0) for t, _ in later], pa.int32()), "x": pa.array([features(x, memo) for _, x in later], pa.list_(pa.float64()))})
+            yield pa.record_batch({"toxic": pa.array([int(t > 0) for t, _ in later], pa.int32()), "x": pa.array([features(x, ratios) for _, x in later], pa.list_(pa.float64()))})
 
     got = texts.mapInArrow(look, "toxic int, x array<double>").toArrow()
     y = np.array(got.column("toxic").to_pylist(), float)
@@ -188,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000
         return ToxicityModel(None, np.zeros(0), np.zeros(0), np.ones(0))
     x = np.array(got.column("x").to_pylist())
     shift, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    return ToxicityModel(classes, logistic((x - shift) / scale, y), shift, scale)
+    return ToxicityModel(ratios, logistic((x - shift) / scale, y), shift, scale)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
