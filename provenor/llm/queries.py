@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import bpe, exact_dedup, fingerprint, langid, lm, packing, quality, simhash, toxicity
+from provenor.llm import bpe, exact_dedup, fingerprint, langid, lm, packing, quality, simhash, substring_dedup, toxicity
 from provenor.llm.common import documents, fold, labels
 
 
@@ -25,6 +25,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "expected_grade", "tail_prob", "selected")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir), window=20)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, marks = documents(spark, sf_dir), labels(spark, sf_dir)
     model = toxicity.fit(docs, marks, fold(marks["doc_id"], 3) != 1)
@@ -77,6 +81,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_fingerprint": op6_fingerprint,
