@@ -53,7 +53,7 @@ def bodies(captures: DataFrame) -> DataFrame:
 
 def with_digests(captures: DataFrame) -> DataFrame:
     size = F.octet_length("body")
-    return captures.withColumns({"body_sha256": F.sha2("body", 256), "body_bytes": size.cast("bigint"), "outcome": outcome(F.col("status"), size)}).withColumn("body_path", F.concat(F.lit("bodies/"), "body_sha256")).drop("body")
+    return captures.withColumns({"body_sha256": F.sha2("body", 256), "body_bytes": size.cast("bigint"), "outcome": outcome(F.col("status"), size)}).withColumn("body_path", F.when(size > 0, F.concat(F.lit("bodies/"), "body_sha256")).otherwise("")).drop("body")
 
 
 _ENTRY = "case_ref string, sequence long, url string, method string, requested_at string, status int, body_sha256 string, body_bytes long, body_path string, collector string, outcome string, note string, request_headers map<string,string>, response_headers map<string,string>, egress string, prev_hash string, entry_hash string"
@@ -127,8 +127,9 @@ def verify(entries: DataFrame, found_bodies: DataFrame | None = None) -> DataFra
 
 def verify_heads(entries: DataFrame, declared: DataFrame) -> DataFrame:
     """Problems of (case_ref, chain_head, capture_count): truncated or lengthened chains. A case without captures has the head ''."""
-    both = declared.join(heads(entries).withColumnRenamed("chain_head", "own"), "case_ref", "left")
-    problems = [(F.coalesce("own", F.lit("")) != F.col("chain_head"), "chain head mismatch"), (F.coalesce("captures", F.lit(0)) != F.col("capture_count"), "capture count mismatch")]
+    own = heads(entries).select("case_ref", F.col("chain_head").alias("own"), F.col("captures").alias("n"))
+    both = declared.select("case_ref", "chain_head", "capture_count").join(own, "case_ref", "left")
+    problems = [(F.coalesce("own", F.lit("")) != F.col("chain_head"), "chain head mismatch"), (F.coalesce("n", F.lit(0)) != F.col("capture_count"), "capture count mismatch")]
     return both.select("case_ref", F.lit(None).cast("bigint").alias("sequence"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(p)) for c, p in problems]))).alias("problem"))
 
 

@@ -19,7 +19,9 @@ MANIFEST = (
 
 
 def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LABELLED).json(path, multiLine=True)
+    """A JSON array in one file, or a JSON object a line."""
+    first = spark.read.text(path).where("trim(value) <> ''").head()
+    return spark.read.schema(LABELLED).json(path, multiLine=bool(first and first.value.lstrip().startswith("[")))
 
 
 def save_labelled_pairs(pairs: DataFrame, path: str) -> None:
