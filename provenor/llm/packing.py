@@ -18,6 +18,7 @@ Other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -29,17 +30,55 @@ from pyspark.sql import functions as F
 
 from provenor.llm.common import Memo, materialise
 
-WHITE = re.compile(r"[ \t-\r]+")
 SALTS = 256
+#: A run of letters that is its own normal form but for case, and what follows it: the run is a pre-token.
+RUN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)((?:[\x21-\x60\x7b-\x7e].*)?)", re.S)
+END_OF_WORD = b"\xff"
 
 _TOKENIZERS: dict[str, Memo] = {}
 
 
+def _byte_letters() -> dict[str, int]:
+    """The usual letters for bytes: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _merger(path: str):
+    """Ids of one pre-token's bytes by the file's merges, or None if the file is of another kind.
+
+    The end of a word is written as a byte that no text has. Each letter merges with it
+    first of all, as the file has it, and then in the file's order.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    letters, vocab = _byte_letters(), model["vocab"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    names = [c + "</w>" for c in letters] + list(letters) + [x + y for x, y in pairs]
+    ranks: dict[bytes, int] = {}
+    ids = []
+    for name in names:
+        word = name.endswith("</w>")
+        raw = bytes(letters[c] for c in (name[:-4] if word else name)) + END_OF_WORD * word
+        if raw not in ranks:
+            ranks[raw] = len(ids)
+            ids.append(vocab[name])
+    import tiktoken
+
+    merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    table = [i.to_bytes(4, "little") for i in ids]
+    return lambda raw: b"".join([table[r] for r in merge(raw + END_OF_WORD)])
+
+
 def _words(path: str) -> Memo:
-    """Token ids of a word as little-endian 32-bit bytes, remembered for each Python worker.
+    """Token ids of a word, ASCII-lower-cased, as little-endian 32-bit bytes; remembered for each Python worker.
 
     The vocabulary's normaliser and pre-tokeniser drop white space and never look across
-    it, so a text's ids are those of its words in order.
+    it, so a text's ids are those of its words in order. A leading run of letters is a
+    pre-token of its own and is merged directly; everything else goes through the tokenizer.
     """
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
@@ -48,12 +87,23 @@ def _words(path: str) -> Memo:
         t.encode_special_tokens = True
         t.no_truncation()
         t.no_padding()
-        _TOKENIZERS[path] = Memo(lambda w: np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), 300_000)
+        merge = _merger(path)
+
+        def ids(word: bytes) -> bytes:
+            m = RUN.fullmatch(word) if merge else None
+            if m is None:
+                return np.array(t.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            run, rest = m.groups()
+            if rest:
+                return memo[run] + memo[rest]
+            return merge(run if run.isascii() else run.decode().lower().encode())
+
+        _TOKENIZERS[path] = memo = Memo(ids, 1_000_000)
     return _TOKENIZERS[path]
 
 
 def encode(text: str | None, words: Memo, end: bytes) -> bytes:
-    return b"".join([words[w] for w in WHITE.split(text or "") if w]) + end
+    return b"".join(map(words.__getitem__, (text or "").encode().lower().split())) + end
 
 
 class Tightest:

@@ -67,5 +67,16 @@ def test_pack(spark):
     assert Counter(16 - sum(n for _, n in p) for p in by.values()) == one_by_one([r.length for r in got], 16)
 
 
+def test_words_are_those_of_the_tokenizer():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    rng = random.Random(9)
+    alphabet = list("abcdeinorstABC") + ["é", "É", "ß", "ÿ", "Þ", "÷", "×", "ñ", "'s", "'", "'ll", "12", "!?", ".", "e\u0301", "ﬁ", "Σ", "ς", "İ", "日", "\x1f", "\xa0", "~", "µ", "ª"]
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    text = " ".join(words)
+    got = np.frombuffer(packing.encode(text, packing._words(PATH), b""), "<u4").tolist()
+    assert got == t.encode(text, add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
