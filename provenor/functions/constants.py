@@ -36,7 +36,7 @@ HALF_LIVES = {
     "timezone_hint": 365.0, "co_hosted": 365.0,
 }
 DEFAULT_HALF_LIFE = 730.0
-RELIABILITY = {"authoritative": 1.0, "strong": 0.85, "moderate": 0.65, "weak": 0.40, "hearsay": 0.20}
+RELIABILITY = {"authoritative": 1.0, "strong": 0.85, "moderate": 0.65, "weak": 0.40, "uncertain": 0.20}
 
 # Identifier kinds.
 KINDS = (

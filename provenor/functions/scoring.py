@@ -68,8 +68,9 @@ def band(p: Column, independent: Column, is_definitional: Column) -> Column:
     return F.when(is_definitional, raw).when(independent < K.MIN_INDEPENDENT_GROUPS, weaker).otherwise(raw)
 
 
+# What a band says in words.
 ESTIMATIVE = {
-    "STRONG": "strong evidence", "MODERATE": "moderate evidence", "LIMITED": "limited evidence",
+    "STRONG": "strongly supported by the evidence", "MODERATE": "moderately supported by the evidence", "LIMITED": "weakly supported by the evidence",
     "WEAK": "insufficiently supported", "UNSUPPORTED": "contradicted or unsupported",
 }
 

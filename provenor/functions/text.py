@@ -131,7 +131,7 @@ def minimised(value: Column, salt: bytes) -> Column:
 
 
 def audit_digest(value: Column, salt: bytes) -> Column:
-    return F.substring(F.sha2(F.concat(F.lit(salt), value.cast("binary")), 256), 1, 24)
+    return F.concat(F.lit("min:"), F.substring(F.sha2(F.concat(F.lit(salt), value.cast("binary")), 256), 1, 24))
 
 
 def seed(text: Column) -> tuple[Column, Column]:

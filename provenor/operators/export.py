@@ -69,7 +69,7 @@ def ftm_entities(ents: DataFrame, members: DataFrame) -> DataFrame:
     props = by.groupBy("case_ref", "cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "vals")))).alias("properties"))
     out = ents.join(props, ["case_ref", "cluster"], "left")
     both = F.map_concat(F.coalesce("attributes", F.create_map().cast("map<string,array<string>>")), F.coalesce("properties", F.create_map().cast("map<string,array<string>>")))
-    return out.select(F.concat(F.lit("eae-"), "entity_id").alias("id"), lookup(K.FTM_SCHEMA, F.col("type")).alias("schema"), both.alias("properties"), F.array("case_ref").alias("datasets"))
+    return out.select(F.concat(F.lit("ent-"), "entity_id").alias("id"), lookup(K.FTM_SCHEMA, F.col("type")).alias("schema"), both.alias("properties"), F.array("case_ref").alias("datasets"))
 
 
 def ftm_relations(claims: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def ftm_relations(claims: DataFrame) -> DataFrame:
     office = F.col("predicate") == "officer_of"
     properties = F.create_map(F.when(office, "director").otherwise("owner"), F.array("subject_key"), F.when(office, "organization").otherwise("asset"), F.array(F.coalesce("object_key", "object_value")), F.lit("sourceUrl"), F.array("source_url"), F.lit("startDate"), F.array(F.date_format("observed_at", "yyyy-MM-dd")))
     ident = F.sha2(F.concat_ws("|", "case_ref", F.col("claim_pos").cast("string")), 256)
-    return some.select(F.concat(F.lit("eae-rel-"), ident).alias("id"), F.when(office, "Directorship").otherwise("Ownership").alias("schema"), properties.alias("properties"), F.array("case_ref").alias("datasets"))
+    return some.select(F.concat(F.lit("rel-"), ident).alias("id"), F.when(office, "Directorship").otherwise("Ownership").alias("schema"), properties.alias("properties"), F.array("case_ref").alias("datasets"))
 
 
 def _quoted(c: Column) -> Column:

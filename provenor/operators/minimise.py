@@ -42,21 +42,26 @@ def scrub(texts: DataFrame, column: str, values: list[str], salt: bytes) -> Data
     return texts.withColumn(column, clean(F.col(column)))
 
 
-# Words in the names of fields whose values are personal, singular or plural.
-SENSITIVE_WORDS = ("identifier", "email", "handle", "name", "subject", "target", "seed", "value", "key", "person")
+# Words in the names of fields whose values are personal; plurals hold them too.
+SENSITIVE_WORDS = (
+    "address", "claim", "email", "handle", "identifier", "name", "person", "person_name", "phone", "postal_address", "query", "registrant",
+    "subject", "target",
+)
+#: A word without its last s, so that any number of them is found.
+_STEMS = tuple(w.rstrip("s") for w in SENSITIVE_WORDS)
 
 
 def sensitive(field: Column) -> Column:
-    return F.lower(field).rlike("|".join(f"{w}s?" for w in SENSITIVE_WORDS))
+    return F.lower(field).rlike("|".join(_STEMS))
 
 
 def minimise_audit(record, values: set[str], salt: bytes, depth: int = 6):
     """A record with sensitive fields and known values replaced, to a bounded depth."""
-    code = lambda v: hashlib.sha256(salt + str(v).encode()).hexdigest()[:24]
+    code = lambda v: "min:" + hashlib.sha256(salt + str(v).encode()).hexdigest()[:24]
     if depth < 0:
         return code(record)
     if isinstance(record, dict):
-        return {k: code(v) if isinstance(v, str) and any(w in k.lower() for w in SENSITIVE_WORDS) else minimise_audit(v, values, salt, depth - 1) for k, v in record.items()}
+        return {k: code(v) if isinstance(v, str) and any(w in k.lower() for w in _STEMS) else minimise_audit(v, values, salt, depth - 1) for k, v in record.items()}
     if isinstance(record, (list, tuple)):
         return [minimise_audit(v, values, salt, depth - 1) for v in record]
     if isinstance(record, str):

@@ -9,8 +9,8 @@ from dataclasses import dataclass, fields
 from provenor.functions import constants as K
 
 # Source classes.
-PERMITTED = ("public_registry", "public_protocol", "public_web", "public_code", "public_archive", "licensed")
-DENIED = ("breach_data", "credential_dump", "private_communication", "paid_pii_broker", "authenticated_scrape")
+PERMITTED = ("public_registry", "public_protocol", "self_published", "platform_public_api", "open_dataset", "own_telemetry")
+DENIED = ("data_broker", "breach_corpus", "authenticated_scrape", "biometric", "location_broker")
 
 
 class PolicyError(ValueError):
@@ -21,36 +21,47 @@ class PolicyError(ValueError):
 class Case:
     case_ref: str
     authorization: str
+    contact_email: str = ""
     seeds: tuple[str, ...] = ()
     pivot_radius: int = 3
+    entity_types_allowed: tuple[str, ...] = ("Company", "Persona")
+    robots_policy: str = "record"
+    minimize: bool = True
+    retention_days: int = 180
     max_requests: int = 5000
     max_nodes: int = 20_000
     max_runtime_s: int = 1800
-    retention_days: int = 180
-    minimise: bool = True
-    person_scope: bool = False
-    named_persons: tuple[str, ...] = ()
-    entity_types: tuple[str, ...] = ("Company", "Persona")
-    salt: bytes | None = None
+    concurrency: int = 6
+    audit_path: str = ""
+    persona_collectors: tuple[str, ...] = ()
+    allow_username_enumeration: bool = False
+    egress: str = ""
+    salt: str = ""
+    jurisdictions: tuple[str, ...] = ()
 
     def allows_type(self, name: str) -> bool:
-        return name in self.entity_types or name == "Unknown"
+        return name in self.entity_types_allowed or name == "Unknown"
 
     def expiry(self, now: dt.datetime) -> dt.datetime:
         return now + dt.timedelta(days=self.retention_days)
 
-    def person_gate(self, collector: str) -> tuple[bool, str]:
-        """Two keys: persons are in scope, and this collector is named."""
-        if not self.person_scope:
-            return False, "persons are not in scope"
-        return (True, "") if collector in self.named_persons else (False, f"collector {collector} is not named")
+    def persona_gate(self, collector: str) -> tuple[bool, str]:
+        """Two keys: personas are in scope, and this collector is named."""
+        if "Persona" not in self.entity_types_allowed:
+            return False, "personas are not in scope"
+        return (True, "") if collector in self.persona_collectors else (False, f"collector {collector} is not named")
+
+    def store_salt(self) -> bytes | None:
+        return self.salt.encode() if self.minimize else None
 
     def audit_code(self, value: str) -> str:
-        return hashlib.sha256((self.salt or b"") + value.encode()).hexdigest()[:24]
+        return "min:" + hashlib.sha256((self.store_salt() or b"") + value.encode()).hexdigest()[:24]
 
 
-_NUMBERS = ("pivot_radius", "max_requests", "max_nodes", "max_runtime_s", "retention_days")
-_BUDGET = ("max_requests", "max_nodes", "max_runtime_s")
+_NUMBERS = ("pivot_radius", "max_requests", "max_nodes", "max_runtime_s", "retention_days", "concurrency")
+_BUDGET = ("max_requests", "max_nodes", "max_runtime_s", "concurrency")
+#: Accepted in a file and not used: the deny list is not the file's to change.
+_UNUSED = ("blacklist", "denied_source_classes")
 
 
 def source_class(name: str) -> str:
@@ -71,6 +82,8 @@ def parse(raw) -> Case:
         if k in raw and raw[k] != v:
             raise PolicyError(f"{k} is given twice")
         raw[k] = v
+    for k in _UNUSED:
+        raw.pop(k, None)
     known = {f.name for f in fields(Case)}
     if unknown := sorted(set(raw) - known):
         raise PolicyError(f"unknown keys: {', '.join(unknown)}")
@@ -80,13 +93,15 @@ def parse(raw) -> Case:
     for k in _NUMBERS:
         if k in raw and (isinstance(raw[k], bool) or not isinstance(raw[k], int) or raw[k] < 1):
             raise PolicyError(f"{k} must be a positive whole number")
-    for k in ("minimise", "person_scope"):
+    for k in ("minimize", "allow_username_enumeration"):
         if k in raw and not isinstance(raw[k], bool):
             raise PolicyError(f"{k} must be true or false")
-    for k in ("seeds", "named_persons", "entity_types"):
+    for k in ("seeds", "persona_collectors", "entity_types_allowed", "jurisdictions"):
         if k in raw:
             raw[k] = tuple(raw[k])
-    if bad := [t for t in raw.get("entity_types", ()) if t not in K.TYPE_RANK]:
+    if raw.get("robots_policy", "record") not in ("respect", "record", "ignore"):
+        raise PolicyError("robots_policy is respect, record or ignore")
+    if bad := [t for t in raw.get("entity_types_allowed", ()) if t not in K.TYPE_RANK]:
         raise PolicyError(f"unknown entity types: {bad}")
     return Case(**raw)
 

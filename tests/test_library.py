@@ -152,13 +152,13 @@ def test_scrub_takes_whole_tokens_longest_first(spark):
 def test_case_files():
     good = {"case_ref": "c", "authorization": "a", "budget": {"max_nodes": 5}, "seeds": ["x.example"]}
     c = case.parse(good)
-    assert c.max_nodes == 5 and c.pivot_radius == 3 and c.minimise and c.expiry(dt.datetime(2024, 1, 1)).year == 2024
-    for bad in ({**good, "odd": 1}, {**good, "max_nodes": 6}, {**good, "minimise": "yes"}, {**good, "pivot_radius": 0}, {"case_ref": "c"}, ["x"], {**good, "max_requests": True}):
+    assert c.max_nodes == 5 and c.pivot_radius == 3 and c.minimize and c.expiry(dt.datetime(2024, 1, 1)).year == 2024
+    for bad in ({**good, "odd": 1}, {**good, "max_nodes": 6}, {**good, "minimize": "yes"}, {**good, "pivot_radius": 0}, {"case_ref": "c"}, ["x"], {**good, "max_requests": True}):
         with pytest.raises(case.PolicyError):
             case.parse(bad)
     with pytest.raises(case.PolicyError):
-        case.source_class("breach_data")
-    assert c.person_gate("x") == (False, "persons are not in scope")
+        case.source_class("breach_corpus")
+    assert c.persona_gate("x") == (False, "collector x is not named")
 
 
 def test_seeds(spark):
