@@ -17,7 +17,7 @@ The tree is not built in one place:
    are the repeats. All leaves of such a node but the earliest are marked.
 
 Equal texts are one to begin with; only the first is read on, and of the others every word in
-a window goes. Sequences are compared as hashes of 64 bits of the first words and 64 bits
+a window goes. Sequences are compared as hashes of 32 bits of the first words and 64 bits
 of the window.
 
 The windows of frequent anchors (a passage in a third of all documents) are first reduced to
@@ -51,7 +51,7 @@ NULL_ID = -(2**63)
 #: Multipliers of a sequence's words; the last one scatters the hash. Windows are shorter than they.
 FACTORS = np.random.default_rng(3).integers(1, 2**64, 256, np.uint64) | np.uint64(1)
 
-_WORDS = Memo(xxhash.xxh3_64_intdigest, 300_000)
+_WORDS = Memo(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def sequence_hashes(h: np.ndarray, length: int) -> np.ndarray:
@@ -131,7 +131,7 @@ def unique_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeats(texts: DataFrame, window: int = 20, gram: int = 5, frequent: int = 10_000) -> DataFrame:
-    """(k, found: array of (id, start)): the windows of ``texts`` that also start earlier."""
+    """(k, found: array of (id, start, hot)): the windows of ``texts`` that also start earlier."""
     p = partitions(texts.sparkSession)
 
     def anchored(batches):
@@ -165,9 +165,9 @@ def repeats(texts: DataFrame, window: int = 20, gram: int = 5, frequent: int = 1
             start, of, hot = start[fits], of[fits], hot[fits]
             place, doc = at[of] + start, pa.array(of)
             if len(place):
-                yield pa.record_batch({"prefix": pa.array(sequence_hashes(h, gram)[place].view(np.int64)), "path": pa.array(sequence_hashes(h, window)[place].view(np.int64)), "k": part.column("k").take(doc), "id": part.column("id").take(doc), "start": pa.array(start.astype(np.int32)), "hot": pa.array(hot)})
+                yield pa.record_batch({"prefix": pa.array((sequence_hashes(h, gram)[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)), "path": pa.array(sequence_hashes(h, window)[place].view(np.int64)), "k": part.column("k").take(doc), "id": part.column("id").take(doc), "start": pa.array(start.astype(np.int32)), "hot": pa.array(hot)})
 
-    left = texts.join(listed, "k").select("k", "digest", "id", "z", "runs").mapInArrow(suffixes, "prefix long, path long, k long, id long, start int, hot boolean")
+    left = texts.join(listed, "k").select("k", "digest", "id", "z", "runs").mapInArrow(suffixes, "prefix int, path long, k long, id long, start int, hot boolean")
     # the prefix that divides: the first words, or the whole window and a salt where they are frequent
     left = left.withColumns({"longer": F.when(F.col("hot"), F.col("path")).otherwise(F.lit(0).cast("bigint")), "salt": F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))})
     leaves = left.repartition(p, "prefix", "longer", "salt")
@@ -176,7 +176,8 @@ def repeats(texts: DataFrame, window: int = 20, gram: int = 5, frequent: int = 1
     ranked = leaves.withColumn("leaf", F.row_number().over(node)).where("leaf > 1 or hot").select("prefix", "path", "k", "id", "start", "hot", "leaf")
     heads = ranked.where("hot and leaf = 1").withColumn("leaf", F.row_number().over(W.partitionBy("prefix", "path").orderBy("id", "k", "start")))
     found = ranked.where("leaf > 1").unionByName(heads.where("leaf > 1"))
-    return found.select("k", F.struct("id", "start").alias("x")).repartition(p, "k").groupBy("k").agg(F.collect_list("x").alias("found"))
+    # both branches ask for the same columns, so that they share one exchange of the leaves
+    return found.select("k", F.struct("id", "start", "hot").alias("x")).repartition(p, "k").groupBy("k").agg(F.collect_list("x").alias("found"))
 
 
 def removed(docs: DataFrame, window: int = 20, gram: int = 5, frequent: int = 10_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
