@@ -18,47 +18,36 @@ empty result.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenor.llm.common import Memo, bounded_sample
+from provenor.llm.common import bounded_sample
+from provenor.llm.letters import FACTORS, letters
 
-DIM = 4096
+ORDER, BITS = 4, 12
+DIM = 1 << BITS
 UNDETERMINED = "und"
-LETTERS = regex.compile(r"\p{L}+")
 SHARPNESS = 25.0
 
 
-def _grams(token: str) -> bytes:
-    """The hashed n-grams of a token's runs of letters, as little-endian 16-bit numbers."""
-    out = []
-    for run in LETTERS.findall(token):
-        s = f" {run} "
-        for n in (1, 2, 3, 4):
-            out += [xxhash.xxh32_intdigest(s[i : i + n].encode()) % DIM for i in range(len(s) - n + 1) if n > 1 or s[i] != " "]
-    return np.array(out, "<u2").tobytes()
-
-
-_MEMO = Memo(_grams, 200_000)
-
-
 def counts(text: str | None) -> np.ndarray | None:
     """The n-gram counts of a whole text; None if it has no letter."""
-    words = Counter((text or "").lower().split())
-    if not words:
-        return None
-    found = [_MEMO[w] for w in words]
-    ids = np.frombuffer(b"".join(found), "<u2")
-    if not len(ids):
+    s = letters(text).astype(np.uint64)
+    if len(s) < 2:
         return None
-    times = np.repeat(np.fromiter(words.values(), np.float32, len(words)), [len(b) // 2 for b in found])
-    return np.bincount(ids, times, DIM).astype(np.float32)
+    inner, h, out = s != 1, s * FACTORS[0], np.zeros(DIM, np.int64)
+    for n in range(1, ORDER + 1):
+        if n > 1:
+            # one symbol more in front; a word's end stands first or last, never between
+            h = h[1:] + s[: len(s) - n + 1] * FACTORS[n - 1]
+        between = np.ones(len(h), bool) if n == 2 else inner[:] if n == 1 else inner[1 : len(s) - n + 2].copy()
+        for k in range(2, n - 1):
+            between &= inner[k : len(s) - n + 1 + k]
+        found = h if between.all() else h[between]
+        out += np.bincount(((found ^ (found >> np.uint64(32))) * FACTORS[7] >> np.uint64(64 - BITS)).astype(np.int64), minlength=DIM)
+    return out.astype(np.float32)
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
