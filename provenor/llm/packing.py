@@ -98,7 +98,7 @@ def _words(path: str) -> Memo:
                 return memo[run] + memo[rest]
             return merge(run if run.isascii() else run.decode().lower().encode())
 
-        _TOKENIZERS[path] = memo = Memo(ids, 1_000_000)
+        _TOKENIZERS[path] = memo = Memo(ids, 200_000)
     return _TOKENIZERS[path]
 
 
