@@ -92,14 +92,7 @@ def linked(fp: np.ndarray, radius: int, refs: np.ndarray) -> list[tuple[int, int
     order = np.argsort(table[:, 0], kind="stable")
     fp, table = fp[order], table[order]
     ends = np.searchsorted(table[:, 0], table[:, 0] + radius, "right")
-    root, out = list(range(len(fp))), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    label, out = np.arange(len(fp)), []
     start = 0
     while start < len(fp):
         # rows of about a million pairs at a time
@@ -113,10 +106,16 @@ def linked(fp: np.ndarray, radius: int, refs: np.ndarray) -> list[tuple[int, int
             near = np.abs(table[i, p] - table[j, p]) <= radius
             i, j = i[near], j[near]
         sure = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-        for a, b in zip(i[sure].tolist(), j[sure].tolist(), strict=True):
-            if (x := find(a)) != (y := find(b)):
-                root[max(x, y)] = min(x, y)
-                out.append((int(order[a]), int(order[b])))
+        i, j = i[sure], j[sure]
+        rows = np.unique(i)
+        for x, lo, hi in zip(rows.tolist(), np.searchsorted(i, rows).tolist(), np.searchsorted(i, rows, "right").tolist(), strict=True):
+            # a row's neighbours of other labels join it, one link for each label
+            near = j[lo:hi]
+            near = near[label[near] != label[x]]
+            others, first = np.unique(label[near], return_index=True)
+            if len(others):
+                out += [(int(order[x]), int(order[y])) for y in near[first].tolist()]
+                label[np.isin(label, others)] = label[x]
         start = stop
     return out
 
