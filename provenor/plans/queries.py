@@ -455,6 +455,19 @@ def frontier_bfs(spark, sf):
     return G.expand(seeds, [G.over_claims(c)], radius=2).seen.select("key", "depth")
 
 
+@query()
+def frontier_bfs_all(spark, sf):
+    """frontier_bfs over all claims; its recursive SQL looks at every fiftieth."""
+    c = V.claims_events(spark, sf)
+    thing = F.concat(F.lit("s"), F.regexp_replace("object_value", "-d.*", ""))
+    c = c.withColumns({"object_kind": F.lit("handle"), "object_value": thing, "object_key": F.concat(F.lit("handle:"), thing)})
+    seeds = spark.createDataFrame([("handle:u1", "handle", "u1")], "key string, kind string, value string")
+    found = G.expand(seeds, [G.over_claims(c)], radius=2, max_nodes=1 << 62)
+    if found.nodes_truncated:
+        raise RuntimeError("the search was cut")
+    return found.seen.select("key", "depth")
+
+
 @query()
 def cypher_lines(spark, sf):
     c = V.claims_customer(spark, sf)
