@@ -317,6 +317,12 @@ def normalize_ascii(spark, sf):
     return d.select("doc_id", F.md5(T.normalise(F.col("text"), True, ascii_only=True)).alias("normal"))
 
 
+@query()
+def normalize_documents(spark, sf):
+    """Every document, with NFKC; the SQL of normalize_ascii says only what plain ASCII needs."""
+    return V.read(spark, sf, "documents").select("doc_id", F.md5(T.normalise(F.col("text"), True)).alias("normal"))
+
+
 _DISGUISED = [("pаypal.example", "homoglyph"), ("exa​mple.com", "zero_width"), ("‎example.com", "bidi_control"), ("bell\x07.example", "control_char"), ("plain.example", "")]
 
 

@@ -1,3 +1,8 @@
+import hashlib
+import re
+import unicodedata
+
+from provenor.functions import constants as K
 from provenor.plans import queries as Q
 from provenor.plans import views as V
 
@@ -17,3 +22,19 @@ def test_frontier_reaches_through_all_claims(spark):
                 want.setdefault(x, depth)
     got = {r.key: r.depth for r in Q.QUERIES["frontier_bfs_all"](spark, SF).collect()}
     assert got == want and len(got) > Q.QUERIES["frontier_bfs"](spark, SF).count()
+
+
+def plain_normal(text):
+    for chars in (K.ZERO_WIDTH, K.BIDI):
+        text = re.sub(f"[{re.escape(chars)}]", "", text)
+    text = re.sub(K.CONTROLS, "", text)
+    for old, new in ((K.HOMOGLYPHS_FROM, K.HOMOGLYPHS_TO), (K.PUNCTUATION_FROM, K.PUNCTUATION_TO)):
+        text = text.translate(str.maketrans(old, new))
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).strip()).lower()
+
+
+def test_every_document_is_normalised(spark, tmp_path):
+    texts = ["Plain  Text ", "Été à Paris", "Ｆull ﬁve", "ex​ample", "pаypal", "‎bidi", "", None, "Straße ①"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.normal for r in Q.QUERIES["normalize_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else hashlib.md5(plain_normal(t).encode()).hexdigest() for i, t in enumerate(texts)}
