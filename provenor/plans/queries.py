@@ -111,6 +111,18 @@ def ingest_verdict(spark, sf):
     return I.verdicts(c, spark.createDataFrame([("cdn.example",)], "domain string")).select("claim_pos", "verdict")
 
 
+@query("""WITH x AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+') AS f FROM documents), u AS (SELECT doc_id, unnest(f) AS m, unnest(range(len(f))) AS i FROM x),
+c AS (SELECT 100 + doc_id * 1000000 + i AS claim_pos, lower(m) AS m FROM u)
+SELECT claim_pos::BIGINT AS claim_pos, m AS address, CASE WHEN list_contains(['admin','administrator','abuse','postmaster','hostmaster','webmaster','noreply','no-reply','donotreply','support','info','contact','sales','billing','help','security','dns','root','office','mail','legal','privacy','dpo','gdpr','team','hello','service','notifications'], split_part(m, '@', 1)) OR starts_with(m, 'noreply') THEN 'drop' WHEN row_number() OVER (PARTITION BY m ORDER BY claim_pos) > 250 THEN 'demote' ELSE 'keep' END AS verdict FROM c""")
+def ingest_verdict_all(spark, sf):
+    """Every address of every document; the SQL of ingest_verdict judges a document's first."""
+    mails = F.regexp_extract_all("text", F.lit("[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+"), F.lit(0))
+    found = V.read(spark, sf, "documents").select("doc_id", F.posexplode(mails).alias("i", "mail"))
+    c = found.select((F.lit(100) + F.col("doc_id") * 1_000_000 + F.col("i")).alias("claim_pos"), F.lit("email").alias("object_kind"), F.lower("mail").alias("object_value"), F.lit("commit_email").alias("predicate"))
+    c = c.withColumns({"case_ref": F.lit("all"), "subject_key": F.concat(F.lit("handle:"), F.col("claim_pos").cast("string")), "object_key": F.concat_ws(":", "object_kind", "object_value")})
+    return I.verdicts(c).select("claim_pos", F.col("object_value").alias("address"), "verdict")
+
+
 @query(f"{EV} SELECT DISTINCT least(subject_key, object_key) AS a, greatest(subject_key, object_key) AS b FROM claims")
 def pairs_direct(spark, sf):
     return E.direct_pairs(V.claims_events(spark, sf)).select("a", "b")

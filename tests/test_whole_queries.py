@@ -2,6 +2,8 @@ import hashlib
 import re
 import unicodedata
 
+import duckdb
+
 from provenor.functions import constants as K
 from provenor.plans import queries as Q
 from provenor.plans import views as V
@@ -38,3 +40,20 @@ def test_every_document_is_normalised(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.normal for r in Q.QUERIES["normalize_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else hashlib.md5(plain_normal(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_every_address_is_judged(spark, tmp_path):
+    texts = ["Write jane@a.example or INFO@a.example.", "none", None, "noreply7@b.example, bob@b.example; bob@b.example"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.claim_pos: (r.address, r.verdict) for r in Q.QUERIES["ingest_verdict_all"](spark, str(tmp_path)).collect()}
+    assert got == {
+        100: ("jane@a.example", "keep"), 101: ("info@a.example.", "drop"),
+        3000100: ("noreply7@b.example", "drop"), 3000101: ("bob@b.example", "keep"), 3000102: ("bob@b.example", "keep"),
+    }
+
+
+def test_addresses_match_their_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = sorted(con.sql(Q.ORACLE["ingest_verdict_all"]).fetchall())
+    assert want and sorted(tuple(r) for r in Q.QUERIES["ingest_verdict_all"](spark, "/root/testdata/sf0.01").collect()) == want
