@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Where a null identifier stands in the order of identifiers.
+NULL_ID = -(2**63)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the session (``spark.checkpoint.dir``).
 
@@ -43,6 +49,39 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def if_small(table: DataFrame, rows: int = 250_000) -> DataFrame:
+    """A written table, to be broadcast if it has been counted to have so few (short) rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def tidy(run):
+    """The Arrow function ``run``, giving the memory that its worker no longer uses back when a task ends.
+
+    Workers live on over stages; without it what they once used adds up on an executor.
+    """
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return inner
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of tables that are written by now: Spark removes them when the JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,20 +104,29 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def bounded_sample(rows: DataFrame, stratum: str, cap: int, seed: int, id_col: str = "doc_id") -> DataFrame:
-    """About ``cap`` rows of each value of ``stratum``, at most twice as many: those whose hashed id is least.
+def order_key(docs: DataFrame, id_col: str = "doc_id") -> Column:
+    """Identifiers as numbers to be ordered by: null before all, other types than integers by their hash."""
+    c, kind = F.col(f"`{id_col}`"), docs.schema[id_col].dataType.typeName()
+    own = c.cast("bigint") if kind in ("byte", "short", "integer", "long") else F.xxhash64(c.cast("string"))
+    return F.when(c.isNull(), F.lit(NULL_ID)).otherwise(own)
+
+
+def bounded_sample(rows: DataFrame, stratum: str, cap: int, seed: int) -> DataFrame:
+    """About ``cap`` rows of each value of ``stratum``, in a column ``place`` the order they may be sorted by.
 
-    The strata are counted first; the share that a stratum may keep is a literal, so
-    no window or sort gathers a stratum. For fitting classifiers only.
+    A row is taken if the hash of all its columns is small, rows that are the same count once; so
+    the sample is the same in every run. The strata are counted first; the share that a stratum may keep
+    is a literal, so no window or sort gathers a stratum. That a stratum has over twice ``cap`` rows has no
+    chance to speak of. For fitting classifiers only.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(stratum).agg(F.count("*")).collect() if r[0] is not None}
+    place = F.xxhash64(*rows.columns, F.lit(seed))
     if not counts:
-        return rows.limit(0)
-    share = F.lit(0.0)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        share = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, cap / n))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(place < share).limit(2 * cap * len(counts))
+        return rows.withColumn("place", place).limit(0)
+    shares = F.create_map(*[F.lit(x) for v, n in sorted(counts.items(), key=str) for x in (v, min(1.0, cap / n))])
+    share = F.coalesce(F.try_element_at(shares, F.col(stratum)), F.lit(0.0))
+    chosen = rows.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) / float(1 << 30) < share)
+    return chosen.dropDuplicates(["place"])
 
 
 class Memo(dict):

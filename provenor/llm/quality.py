@@ -145,7 +145,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, ratings: DataFrame, train: Column, grades: int, per_grade: int = 2000, seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """``ratings``: doc_id, grade (0 to grades - 1); ``train``: which of them may be learnt from."""
     marked = ratings.where(train & ratings["grade"].isNotNull()).select(F.col("doc_id").alias("__id"), F.col("grade").cast("int").alias("grade"))
-    marked = bounded_sample(marked, "grade", per_grade, seed, "__id")
+    marked = bounded_sample(marked, "grade", per_grade, seed).drop("place")
     texts = docs.select(docs[id_col].alias("__id2"), docs[text_col].alias("text")).join(F.broadcast(marked), F.col("__id2") == F.col("__id")).select("__id", "grade", "text")
 
     def run(batches):

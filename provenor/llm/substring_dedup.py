@@ -1,34 +1,33 @@
 """Removal of repeated passages with prefix-partitioned suffix trees.
 
 A window is ``window`` consecutive words of one document; a word goes if a window over it
-also starts earlier (in a smaller doc_id, or in the same document before it). Repeats
-of that length are the nodes at that depth of the corpus's suffix tree, read to that depth.
-The tree is not built in one place:
+also starts earlier (in a smaller identifier, or in the same document before it). Repeats
+of that length are the nodes at that depth of the corpus's suffix tree, which is read to that depth:
+a suffix is its first ``window`` words, taken in ``LEVELS`` steps of equal length.
 
 1. *Pruning.* In every window the ``gram`` consecutive words with the least hash are its
    anchor; equal windows have equal anchors at the same place, so a window whose
-   anchor occurs once in the corpus is a leaf and goes no further. Neighbouring windows
-   mostly share an anchor, which makes this some eight times less than the windows.
-2. *Division by prefix.* The suffixes that are left are divided by their first words, by
-   as many as it takes: ``gram`` words, or the whole window where an anchor is so
-   frequent that a shorter prefix would not fit a task's share of memory.
-3. *Subtrees.* A division's suffixes, sorted, are the leaves of its subtree in order; the
-   common prefix of neighbours gives the internal nodes, and those as deep as the window
-   are the repeats. All leaves of such a node but the earliest are marked.
+   anchor occurs once in the corpus is a leaf by itself and goes no further.
+2. *Division by prefix.* All windows' prefixes of each level are counted. A suffix is divided off by the
+   shortest prefix whose group is no larger than a task's share of all windows; groups are counted in
+   buckets, so a count is never too small.
+3. *Subtrees.* A division's suffixes are sorted by their steps: the leaves of its subtree in order. The
+   common prefix of neighbours gives the internal nodes; the leaves under one at the depth of the window
+   are one repeat, and all but the earliest are marked. Marks that follow each other are one run.
+
+Leaves of one node, and anchors, that meet in a block of texts are settled there: of a node only its earliest
+leaf in a block goes on, of an anchor one occurrence. So a passage in a third of all documents
+is a leaf for each block, not for each document.
 
 Equal texts are one to begin with; only the first is read on, and of the others every word in
-a window goes. Sequences are compared as hashes of 32 bits of the first words and 64 bits
-of the window.
-
-The windows of frequent anchors (a passage in a third of all documents) are first reduced to
-the earliest leaf of each of ``SALTS`` parts, so no task holds all leaves of one node. Texts
-are dealt out once, compressed, by a key; what is found returns to them there.
-
-Edge cases: null text has no words; a text shorter than a window loses nothing. Rows
-with one identifier and the same words are the same document and get the same result; with other
-words they are different documents, the one with the smaller digest first. A null
-identifier is before all others. Other columns are ignored; an empty table gives an
-empty result.
+a window goes. Texts are equal by SHA-256; suffixes are compared by hashes, of 64 bits for
+the whole window and as many for the steps before it. Each row is dealt out once, its text compressed, and its marks come to it there.
+
+Edge cases: null text has no words; a text shorter than a window loses nothing and stays as it is. Rows
+with one identifier and the same text are the same document and get the same result; with other
+texts they are different documents, in the order of the first 8 bytes of their digests. A null
+identifier is before all others; identifiers that are not integers stand in the order of
+their hashes. Other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,24 +42,43 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from provenor.llm.common import Memo, partitions
+from provenor.llm.common import Memo, order_key, partitions, release, tidy
 
-SALTS = 64
-NULL_ID = -(2**63)
+LEVELS = 4
+#: Bits of the hash of each prefix after the first, which has what is left of 64.
+STEP_BITS = 16
+#: What a row is: the text's first document, a later copy, shorter than a window, or the first once more.
+FIRST, COPY, SHORT, TWIN = 0, 1, 2, 3
 #: Multipliers of a sequence's words; the last one scatters the hash. Windows are shorter than they.
 FACTORS = np.random.default_rng(3).integers(1, 2**64, 256, np.uint64) | np.uint64(1)
 
-_WORDS = Memo(xxhash.xxh3_64_intdigest, 150_000)
+
+def scattered(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(32))) * FACTORS[255]
 
 
 def sequence_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """A hash of each ``length`` consecutive words."""
-    n = len(h) - length + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for j in range(length if n > 0 else 0):
-        out += h[j : j + n] * FACTORS[j]
-    return (out ^ (out >> np.uint64(32))) * FACTORS[255]
+    return next(prefix_hashes(h, length, [length]))
+
+
+def levels(window: int) -> list[int]:
+    """The lengths of a suffix's prefixes, the whole window last."""
+    return [max(1, window * i // LEVELS) for i in range(1, LEVELS + 1)]
+
+
+def prefix_hashes(h: np.ndarray, window: int, lengths: list[int]):
+    """For each of ``lengths`` a hash of that many first words of each ``window`` consecutive ones."""
+    n = len(h) - window + 1
+    out, j = np.zeros(max(n, 0), np.uint64), 0
+    for length in lengths:
+        while j < length:
+            if n > 0:
+                out += h[j : j + n] * FACTORS[j]
+            j += 1
+        yield scattered(out)
 
 
 def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +93,24 @@ def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return best, at
 
 
-def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of ``starts``."""
+def covered(starts: np.ndarray, counts: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n words lie in a window; ``counts`` windows follow each other from each of ``starts``."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
+    np.add.at(edge, np.minimum(starts + counts - 1 + window, n), -1)
     return edge.cumsum()[:n] > 0
 
 
-def _joined(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of some texts; all their hashes in a row; where each text begins, and the end."""
+def _memo() -> Memo:
+    """Words and their hashes, as a task remembers them."""
+    return Memo(xxhash.xxh3_64_intdigest, 150_000)
+
+
+def _hashed(texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of some texts' words in a row; where each text begins, and the end."""
     words = [t.split() for t in texts]
     at = np.cumsum([0] + [len(w) for w in words])
-    return words, np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), np.uint64, int(at[-1])), at
+    return np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, int(at[-1])), at
 
 
 def _whole(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,136 +126,313 @@ def _slices(batches, rows: int = 128):
             yield b.slice(at, rows)
 
 
-def _unpacked(part) -> list[bytes]:
+def _unpacked(values) -> list[bytes]:
     un = zstandard.ZstdDecompressor()
-    return [un.decompress(z) for z in part.column("z").to_pylist()]
+    return [un.decompress(z) for z in values.to_pylist()]
+
+
+def _firsts(part):
+    return part.filter(pa.array(part.column("state").to_numpy() == FIRST))
+
+
+def _spread(k: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A key that nothing else has, to deal out what needs no company."""
+    return scattered(k.view(np.uint64) + start.astype(np.uint64) * FACTORS[254]).view(np.int64)
+
+
+def _runs(key: list[np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of consecutive starts of one key begin, and how long they are; rows are sorted by key and start."""
+    new = np.ones(len(start), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in key], axis=0) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(start)))
 
 
-def unique_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k (the key), digest, id (the least of the text's), z (the text compressed), dealt out by k."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
-    given = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NULL_ID)).alias("id"), text.alias("text"))
-    given = given.withColumn("digest", F.unhex(F.md5("text")))
+class Blocks:
+    """Arrays held back until there are ``size`` rows of them."""
+
+    def __init__(self, size: int):
+        self.size, self.held, self.n = size, [], 0
+
+    def add(self, *arrays: np.ndarray) -> bool:
+        self.held.append(arrays)
+        self.n += len(arrays[0])
+        return self.n >= self.size
+
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        self.held, self.n = [], 0
+        return out
+
+
+def dealt(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """Each row of ``docs`` (columns c0, c1, ...) with k, digest, id, state, n and z, dealt out by k.
+
+    z is the text compressed, null for null texts and for copies that are known where they are read; n is then their words.
+    """
+    text = F.col(f"`{text_col}`").cast("string").cast("binary")
+    carry = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns) if c != text_col}
+    given = docs.select(order_key(docs, id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit(b"")), 256)).alias("digest"), *[c.alias(n) for n, c in carry.items()])
+    fields = [f for f in given.schema.fields if f.name in carry]
+
+    def run(batches):
+        pack, least, rows = zstandard.ZstdCompressor(level=1), Memo(lambda _: None, 500_000), 0
+        for part in _slices(batches):
+            ids, digests = part.column("id").to_pylist(), part.column("digest").to_pylist()
+            state, n, z = [], [], []
+            for i, d, t in zip(ids, digests, part.column("text").to_pylist(), strict=True):
+                if t is None or len(t.split(None, window - 1)) < window:
+                    s = SHORT
+                elif (had := least[d]) is not None and i > had:
+                    s = COPY
+                else:
+                    s, least[d] = FIRST, i
+                state.append(s)
+                n.append(len(t.split()) if s == COPY else 0)
+                z.append(None if t is None or s == COPY else pack.compress(t))
+            state = np.array(state, np.int32)
+            by_text = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+            k = np.where(state == FIRST, by_text, _spread(by_text, np.arange(rows, rows + len(state))))
+            rows += len(state)
+            cols = {"k": pa.array(k), "digest": part.column("digest"), "id": part.column("id"), "state": pa.array(state), "n": pa.array(n, pa.int64()), "z": pa.array(z, pa.binary())}
+            yield pa.record_batch(cols | {f.name: part.column(f.name) for f in fields})
+
+    # k is never null: what reads the dealt rows must not filter them first, or they are dealt again
+    schema = T.StructType(T.DataType.fromDDL("k long not null, digest binary, id long, state int, n long, z binary").fields + fields)
+    rows = given.mapInArrow(tidy(run), schema).repartition(partitions(docs.sparkSession), "k")
+    same = W.partitionBy("k", "digest", "state").orderBy("id")
+    rows = rows.withColumns({"place": F.row_number().over(same), "rank": F.rank().over(same)})
+    first = F.col("state") == FIRST
+    return rows.withColumn("state", F.when(first & (F.col("rank") > 1), COPY).when(first & (F.col("place") > 1), TWIN).otherwise(F.col("state"))).drop("place", "rank")
+
+
+def frequent_prefixes(docs: DataFrame, window: int, text_col: str, share: int | None = None) -> list[np.ndarray]:
+    """For each level but the last, which buckets of prefixes hold more than a task's share of all windows.
+
+    The buckets are four for each task (4,096 to 65,536); a bucket counts every window of every text.
+    """
+    bits = min(max(12, (4 * partitions(docs.sparkSession) - 1).bit_length()), 16)
 
     def run(batches):
-        pack, least = zstandard.ZstdCompressor(level=1), Memo(lambda _: None, 500_000)
+        memo, total = _memo(), np.zeros((LEVELS - 1, 1 << bits), np.int64)
         for part in _slices(batches):
-            ids, digests, keep = part.column("id").to_pylist(), part.column("digest").to_pylist(), []
-            for i, (d, x) in enumerate(zip(digests, ids, strict=True)):
-                if (had := least[d]) is None or x < had:
-                    least[d] = x
-                    keep.append(i)
-            some = part.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch({"id": some.column("id"), "digest": some.column("digest"), "z": pa.array([pack.compress(t) for t in some.column("text").to_pylist()], pa.binary())})
+            h, at = _hashed([t for t in part.column("text").to_pylist() if t is not None], memo)
+            start, _ = _whole(at, window)
+            for i, x in enumerate(prefix_hashes(h, window, levels(window)[:-1])):
+                total[i] += np.bincount((x[start] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        flat = total.reshape(-1)
+        at = np.flatnonzero(flat)
+        for i in range(0, len(at), 100_000):
+            yield pa.record_batch({"at": pa.array(at[i : i + 100_000].astype(np.int32)), "n": pa.array(flat[at[i : i + 100_000]])})
 
-    rows = given.mapInArrow(run, "id long, digest binary, z binary").withColumn("k", F.xxhash64("digest"))
-    dealt = rows.repartition(partitions(docs.sparkSession), "k")
-    return dealt.groupBy("k", "digest").agg(F.min("id").alias("id"), F.first("z").alias("z"))
+    text = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    got = text.mapInArrow(tidy(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((LEVELS - 1) << bits, np.int64)
+    counts[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    counts = counts.reshape(LEVELS - 1, -1)
+    return list(counts > (share or max(1 << 16, 4 * int(counts[0].sum()) >> bits)))
 
 
-def repeats(texts: DataFrame, window: int = 20, gram: int = 5, frequent: int = 10_000) -> DataFrame:
-    """(k, found: array of (id, start, hot)): the windows of ``texts`` that also start earlier."""
-    p = partitions(texts.sparkSession)
+def division_levels(paths: list[np.ndarray], often: list[np.ndarray]) -> np.ndarray:
+    """The level of the shortest prefix that is not too frequent, or of the whole window."""
+    shift = np.uint64(64 - (len(often[0]) - 1).bit_length())
+    out, left = np.zeros(len(paths[0]), np.int64), np.ones(len(paths[0]), bool)
+    for i, hot in enumerate(often):
+        left &= hot[(paths[i] >> shift).astype(np.int64)]
+        out[left] = i + 1
+    return out
+
+
+def stepped(paths: list[np.ndarray]) -> np.ndarray:
+    """The hashes of the prefixes, the shortest one's foremost and longest, in one number."""
+    first = np.uint64(64 - STEP_BITS * (LEVELS - 2))
+    out = paths[0] >> (np.uint64(64) - first)
+    for x in paths[1:]:
+        out = out << np.uint64(STEP_BITS) | x >> np.uint64(64 - STEP_BITS)
+    return out
+
+
+#: A run of windows is one number: where it starts, and in the last bits how many follow. A leaf is below zero:
+#: its start and the level of the prefix that divides it off. So rows are short when they are dealt.
+COUNT_BITS = 20
+
+
+def _run(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << COUNT_BITS) | n
+
+
+def _leaf(start: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return -(start.astype(np.int64) * LEVELS + level) - 1
+
+
+def division():
+    """What a leaf is dealt out by: the steps of its prefix, or the whole window. Marks pass by."""
+    level = F.pmod(-F.col("run") - 1, F.lit(LEVELS))
+    out = F.when(F.col("run") >= 0, F.col("k"))
+    for i in range(LEVELS - 1):
+        out = out.when(level == i, F.shiftrightunsigned("steps", STEP_BITS * (LEVELS - 2 - i)))
+    return out.otherwise(F.col("whole"))
+
+
+def repeats(texts: DataFrame, often: list[np.ndarray], window: int, gram: int, block: int) -> DataFrame:
+    """(k, found: array of (id, run)): runs of windows of ``texts`` that also start earlier."""
+    spark = texts.sparkSession
+    p, shared = partitions(spark), spark.sparkContext.broadcast(often)
 
     def anchored(batches):
+        memo, held = _memo(), Blocks(block)
+
+        def out():
+            anchor, k, start, n = held.take()
+            _, first, which, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+            known = times[which] > 1
+            alone = known.copy()
+            alone[first] = False
+            d = np.where(alone, _spread(k, start), anchor.view(np.int64))
+            return pa.record_batch({"d": pa.array(d), "k": pa.array(k), "run": pa.array(_run(start, n << 1 | known))})
+
         for part in _slices(batches):
-            _, h, at = _joined(_unpacked(part))
+            part = _firsts(part)
+            h, at = _hashed(_unpacked(part.column("z")), memo)
             start, of = _whole(at, window)
             if not len(start):
                 continue
             best, place = anchors(h, window, gram)
             best, place = best[start], place[start]
-            new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])]))
-            doc = pa.array(of[new])
-            yield pa.record_batch({"anchor": pa.array(best[new].view(np.int64)), "k": part.column("k").take(doc), "start": pa.array((start - at[of])[new].astype(np.int32)), "n": pa.array(np.diff(np.append(new, len(start))).astype(np.int32))})
+            new, n = _runs([of, place], np.arange(len(of)))
+            if held.add(best[new], part.column("k").to_numpy()[of[new]], (start - at[of])[new], n):
+                yield out()
+        if held.n:
+            yield out()
 
-    runs = texts.mapInArrow(anchored, "anchor long, k long, start int, n int")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
-    again = runs.join(often, "anchor").select("k", F.struct("start", "n", (F.col("times") > frequent).alias("hot")).alias("run"))
-    listed = again.repartition(p, "k").groupBy("k").agg(F.collect_list("run").alias("runs"))
+    runs = texts.mapInArrow(tidy(anchored), "d long, k long, run long").repartition(p, "d")
+    again = runs.withColumn("times", F.count("*").over(W.partitionBy("d"))).where((F.col("times") > 1) | (F.col("run").bitwiseAND(F.lit(1)) == 1))
+    listed = again.select("k", "run").repartition(p, "k").groupBy("k").agg(F.collect_list("run").alias("runs"))
 
     def suffixes(batches):
+        often, memo, held = shared.value, _memo(), Blocks(block)
+
+        def out():
+            *paths, k, id, start = held.take()
+            order = np.lexsort((start, k, id, paths[-1]))
+            paths, k, id, start = [x[order] for x in paths], k[order], id[order], start[order]
+            later = np.zeros(len(k), bool)
+            later[1:] = paths[-1][1:] == paths[-1][:-1]
+            heads = [x[~later] for x in paths]
+            yield batch(stepped(heads[:-1]), heads[-1], k[~later], id[~later], _leaf(start[~later], division_levels(heads, often)))
+            k, id, start = k[later], id[later], start[later]
+            order = np.lexsort((start, id, k))
+            k, id, start = k[order], id[order], start[order]
+            if len(k):
+                at, n = _runs([k, id], start)
+                none = np.zeros(len(at), np.uint64)
+                yield batch(none, none, k[at], id[at], _run(start[at], n))
+
+        def batch(steps, whole, k, id, run):
+            return pa.record_batch({"steps": pa.array(steps.view(np.int64)), "whole": pa.array(whole.view(np.int64)), "k": pa.array(k), "id": pa.array(id), "run": pa.array(run)})
+
         for part in _slices(batches):
-            _, h, at = _joined(_unpacked(part))
+            part = _firsts(part)
+            h, at = _hashed(_unpacked(part.column("z")), memo)
             runs = part.column("runs")
-            flat = runs.flatten()
-            of = np.repeat(np.arange(part.num_rows), np.diff(runs.offsets.to_numpy()))
-            first, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
-            total = np.repeat(n.cumsum() - n, n)
-            start, of, hot = np.repeat(first, n) + np.arange(int(n.sum())) - total, np.repeat(of, n), np.repeat(flat.field("hot").to_numpy(zero_copy_only=False), n)
+            of = np.repeat(np.arange(part.num_rows), runs.value_lengths().to_numpy())
+            run = runs.flatten().to_numpy()
+            first, n = run >> COUNT_BITS, (run & ((1 << COUNT_BITS) - 1)) >> 1
+            start, of = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(n.cumsum() - n, n), np.repeat(of, n)
             # two texts may share a key; then one is given the other's runs too
             fits = start + window <= np.diff(at)[of]
-            start, of, hot = start[fits], of[fits], hot[fits]
-            place, doc = at[of] + start, pa.array(of)
-            if len(place):
-                yield pa.record_batch({"prefix": pa.array((sequence_hashes(h, gram)[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)), "path": pa.array(sequence_hashes(h, window)[place].view(np.int64)), "k": part.column("k").take(doc), "id": part.column("id").take(doc), "start": pa.array(start.astype(np.int32)), "hot": pa.array(hot)})
-
-    left = texts.join(listed, "k").select("k", "digest", "id", "z", "runs").mapInArrow(suffixes, "prefix int, path long, k long, id long, start int, hot boolean")
-    # the prefix that divides: the first words, or the whole window and a salt where they are frequent
-    left = left.withColumns({"longer": F.when(F.col("hot"), F.col("path")).otherwise(F.lit(0).cast("bigint")), "salt": F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))})
-    leaves = left.repartition(p, "prefix", "longer", "salt")
-    # a subtree's leaves in order; those of one deep node follow each other, the earliest first
-    node = W.partitionBy("prefix", "longer", "salt", "path").orderBy("id", "k", "start")
-    ranked = leaves.withColumn("leaf", F.row_number().over(node)).where("leaf > 1 or hot").select("prefix", "path", "k", "id", "start", "hot", "leaf")
-    heads = ranked.where("hot and leaf = 1").withColumn("leaf", F.row_number().over(W.partitionBy("prefix", "path").orderBy("id", "k", "start")))
-    found = ranked.where("leaf > 1").unionByName(heads.where("leaf > 1"))
-    # both branches ask for the same columns, so that they share one exchange of the leaves
-    return found.select("k", F.struct("id", "start", "hot").alias("x")).repartition(p, "k").groupBy("k").agg(F.collect_list("x").alias("found"))
-
-
-def removed(docs: DataFrame, window: int = 20, gram: int = 5, frequent: int = 10_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """A row for each distinct text: digest, id (the least of its documents), n_words, n_removed,
-    kept_sha256 and all_sha256 (of what stays, and of all words); with ``keep_text`` also kept_text.
+            start, of = start[fits], of[fits]
+            if len(start):
+                paths = [x[at[of] + start] for x in prefix_hashes(h, window, levels(window))]
+                if held.add(*paths, part.column("k").to_numpy()[of], part.column("id").to_numpy()[of], start):
+                    yield from out()
+        if held.n:
+            yield from out()
+
+    leaves = texts.join(listed, "k").mapInArrow(tidy(suffixes), "steps long, whole long, k long, id long, run long")
+
+    def subtrees(batches):
+        last = None
+        for b in batches:
+            edges = [b.column("steps").to_numpy() >> (STEP_BITS * i) for i in reversed(range(LEVELS - 1))] + [b.column("whole").to_numpy()]
+            before = [np.concatenate([[x[0] - 1 if last is None else y], x[:-1]]) for x, y in zip(edges, last or edges, strict=True)]
+            last = [x[-1] for x in edges]
+            # how many steps a leaf has in common with its neighbour: the depth of the node above both
+            common = np.cumprod([x == y for x, y in zip(edges, before, strict=True)], axis=0).sum(axis=0)
+            run = b.column("run").to_numpy()
+            marked = (run >= 0) | (common == LEVELS)
+            run = run[marked]
+            out = b.filter(pa.array(marked))
+            yield pa.record_batch({"k": out.column("k"), "id": out.column("id"), "run": pa.array(np.where(run >= 0, run, _run((-run - 1) // LEVELS, 1)))})
+
+    # a node's leaves have one level; the one that starts first has the largest number
+    ordered = leaves.repartition(p, division()).sortWithinPartitions("steps", "whole", "id", "k", F.desc("run"))
+    found = ordered.mapInArrow(subtrees, "k long, id long, run long")
+    return found.select("k", F.struct("id", "run").alias("x")).repartition(p, "k").groupBy("k").agg(F.collect_list("x").alias("found"))
+
+
+def _marked(docs: DataFrame, window: int, gram: int, block: int, share: int | None, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``dealt`` and found, the runs of windows in them that start earlier."""
+    if not 0 < gram <= window < len(FACTORS) - 1 or not 0 < block < 1 << (COUNT_BITS - 1):
+        raise ValueError("gram must be 1 to window, window less than 255, and block less than 2^19")
+    release(docs.sparkSession)
+    often = frequent_prefixes(docs, window, text_col, share)
+    texts = dealt(docs, window, id_col, text_col)
+    return texts.join(repeats(texts, often, window, gram, block), "k", "left")
+
+
+def _kept(part, window: int):
+    """For each row its words (None: not known), how many of them go, and what is left of them."""
+    for state, own, n, z, found in zip(part.column("state").to_pylist(), part.column("id").to_pylist(), part.column("n").to_pylist(), part.column("z"), part.column("found"), strict=True):
+        words = zstandard.ZstdDecompressor().decompress(z.as_py()).split() if z.is_valid else []
+        if state == COPY:
+            yield (len(words) or n), (len(words) or n), []
+            continue
+        if state != SHORT and found.is_valid:
+            ids, run = (found.values.field(x).to_numpy() for x in ("id", "run"))
+            starts, counts = run >> COUNT_BITS, run & ((1 << COUNT_BITS) - 1)
+            mine = (ids == own) & (starts + counts - 1 + window <= len(words))
+            if mine.any():
+                gone = covered(starts[mine], counts[mine], len(words), window)
+                yield len(words), int(gone.sum()), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                continue
+        yield len(words), 0, words
+
+
+def dedup(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 500_000, share: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: a row for each input row.
+
+    ``block``: how many anchors or leaves a task settles at a time; ``share``: how many windows a prefix may
+    have (by default a task's share). Neither changes the result.
     """
-    texts = unique_texts(docs, id_col, text_col)
-    marked = texts.join(repeats(texts, window, gram, frequent), "k", "left").select("k", "digest", "id", "z", "found")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    marked = _marked(rows, window, gram, block, share, "doc_id", "text")
 
     def run(batches):
         for part in _slices(batches):
-            out = []
-            for own, raw, found in zip(part.column("id").to_pylist(), _unpacked(part), part.column("found"), strict=True):
-                words = raw.split()
-                every = hashlib.sha256(joined := b" ".join(words)).hexdigest()
-                starts = np.zeros(0, np.int64)
-                if found.is_valid:
-                    ids, all_starts = found.values.field("id").to_numpy(), found.values.field("start").to_numpy()
-                    starts = all_starts[(ids == own) & (all_starts + window <= len(words))]
-                if len(starts):
-                    gone = covered(starts, len(words), window)
-                    joined = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                    out.append((len(words), int(gone.sum()), hashlib.sha256(joined).hexdigest(), every, joined))
-                else:
-                    out.append((len(words), 0, every, every, joined))
-            n, gone, sha, every, kept = zip(*out, strict=True)
-            cols = {"digest": part.column("digest"), "id": part.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha), "all_sha256": pa.array(every)}
-            yield pa.record_batch(cols | ({"kept_text": pa.array(kept, pa.binary())} if keep_text else {}))
-
-    return marked.mapInArrow(run, "digest binary, id long, n_words long, n_removed long, kept_sha256 string, all_sha256 string" + (", kept_text binary" if keep_text else ""))
-
+            n, gone, kept = zip(*_kept(part, window), strict=True)
+            sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in kept]
+            yield pa.record_batch({"doc_id": part.column("c0"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha)})
 
-def dedup(docs: DataFrame, window: int = 20, gram: int = 5, frequent: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256: a row for each input row."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(docs[id_col].alias("doc_id"), F.unhex(F.md5(text)).alias("digest"))
-    found = removed(docs, window, gram, frequent, id_col, text_col)
-    first = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)) == F.col("id")
-    gone = ~first & (F.col("n_words") >= window)
-    return rows.join(found, "digest").select(
-        "doc_id", "n_words",
-        F.when(gone, F.col("n_words")).when(first, F.col("n_removed")).otherwise(F.lit(0).cast("bigint")).alias("n_removed"),
-        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).when(first, F.col("kept_sha256")).otherwise(F.col("all_sha256")).alias("kept_sha256"),
-    )
+    return marked.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
-def rewritten(docs: DataFrame, window: int = 20, gram: int = 5, frequent: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rewritten(docs: DataFrame, window: int = 20, gram: int = 5, block: int = 500_000, share: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of the texts: all columns, every row.
 
     A text that loses nothing stays as it is; of another the words that stay are joined by spaces.
     """
-    found = removed(docs, window, gram, frequent, id_col, text_col, keep_text=True)
-    found = found.select(F.col("digest").alias("__digest"), F.col("id").alias("__id"), F.col("n_words").alias("__n"), F.when(F.col("n_removed") > 0, F.col("kept_text").cast("string")).alias("__kept"))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
-    marked = docs.withColumn("__key", F.unhex(F.md5(text)))
-    first = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)) == F.col("__id")
-    new = F.when(~first & (F.col("__n") >= window), F.lit("")).when(first & F.col("__kept").isNotNull(), F.col("__kept")).otherwise(F.col(text_col))
-    return marked.join(found, F.col("__key") == F.col("__digest")).withColumn(text_col, new).select(*docs.columns)
+    marked = _marked(docs, window, gram, block, share, id_col, text_col)
+    names = [c if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)]
+
+    def run(batches):
+        un = zstandard.ZstdDecompressor()
+        for part in _slices(batches):
+            new = []
+            for z, (_, gone, kept) in zip(part.column("z"), _kept(part, window), strict=True):
+                new.append(b" ".join(kept) if gone else un.decompress(z.as_py()) if z.is_valid else None)
+            text = pa.array(new, pa.binary()).cast(pa.string())
+            yield pa.record_batch([text if n == text_col else part.column(n) for n in names], [f"r{i}" for i in range(len(names))])
+
+    kinds = [T.StringType() if c == text_col else docs.schema[c].dataType for c in docs.columns]
+    return marked.mapInArrow(tidy(run), T.StructType([T.StructField(f"r{i}", t) for i, t in enumerate(kinds)])).toDF(*docs.columns)

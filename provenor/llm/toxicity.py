@@ -194,7 +194,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """``train``: a condition on ``labels``' doc_id that says which labelled rows may be learnt from."""
     marked = labels.where(train & labels["toxic"].isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-    marked = bounded_sample(marked, "toxic", per_class, seed, "__id")
+    marked = bounded_sample(marked, "toxic", per_class, seed).drop("place")
     half = F.pmod(F.xxhash64(F.col("__id"), F.lit(seed + 1)), F.lit(3)) == 0
     texts = docs.select(docs[id_col].alias("__id2"), docs[text_col].alias("text")).join(F.broadcast(marked), F.col("__id2") == F.col("__id")).select(half.alias("later"), "toxic", "text")
 

@@ -9,7 +9,7 @@ from provenor.llm import substring_dedup
 
 def brute(rows, window):
     """Straight from the definition; rows of one identifier and text are one document."""
-    key = lambda i, t: (i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest())
+    key = lambda i, t: (i is not None, i or 0, int.from_bytes(hashlib.sha256((t or "").encode()).digest()[:8], "little", signed=True))
     texts = {key(i, t): (t or "").encode().split() for i, t in rows}
     seen, out = {}, {}
     for k in sorted(texts):
@@ -40,14 +40,16 @@ def rows():
 
 def test_matches_the_definition(spark):
     given = rows()
-    docs = spark.createDataFrame(given, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "k": F.lit(1)})
-    for window, gram, frequent in ((6, 2, 10_000), (6, 3, 2), (4, 4, 3)):
-        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(docs, window, gram, frequent).collect())
+    clash = {"digest": F.lit("clash"), "k": F.lit(1), "id": F.lit("i"), "state": F.lit(1), "z": F.lit(None).cast("binary"), "c0": F.array(F.lit(2.5)), "found": F.lit(True)}
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumns(clash).repartition(3)
+    for window, gram, block, share in ((6, 2, 500_000, None), (6, 3, 30, 1), (4, 4, 1, 5)):
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(docs, window, gram, block, share).collect())
         want = brute(given, window)
         assert got == Counter((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in want)
         assert sum(g for _, _, g, _ in want) > 100
-    new = substring_dedup.rewritten(docs, 6, 2)
-    assert new.columns == docs.columns
+    new = substring_dedup.rewritten(docs, 6, 2, 40, 3)
+    assert new.schema == docs.schema or new.dtypes == docs.dtypes
+    assert {(r.digest, r.k, r.id, r.state, r.z, tuple(r.c0), r.found) for r in new.collect()} == {("clash", 1, "i", 1, None, (2.5,), True)}
     assert Counter((r.doc_id, r.text) for r in new.collect()) == Counter((i, t if not g else k) for (i, n, g, k), (_, t) in zip(brute(given, 6), given, strict=True))
 
 
