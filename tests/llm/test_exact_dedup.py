@@ -9,7 +9,7 @@ ROWS = [(5, "a"), (3, "a"), (9, "b"), (None, "a"), (None, "c"), (7, None), (8, "
 
 
 def table(spark):
-    return spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "keep_id": F.lit("clash")})
+    return spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("digest", "keep_id", "size", "Lost_Id", "word", "best")})
 
 
 def expected(keep):
@@ -26,8 +26,8 @@ def expected(keep):
 
 
 def test_groups(spark):
-    for name, keep in (("largest", max), ("smallest", min)):
-        got = exact_dedup.exact_dedup(table(spark), keep=name).collect()
+    for name, keep, rows in (("largest", max, 1), ("smallest", min, 4096), ("smallest", min, 2)):
+        got = exact_dedup.exact_dedup(table(spark).coalesce(2), keep=name, memtable_rows=rows, fanout=2).collect()
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.digest) for r in got) == expected(keep)
         kept = Counter(r.digest for r in got if r.kept)
         assert set(kept.values()) == {1} and len(kept) == len({t or "" for _, t in ROWS})
@@ -42,7 +42,7 @@ def test_colliding_digests_are_told_apart_by_their_bytes(spark):
 
 def test_survivors_keep_their_columns(spark):
     docs = table(spark)
-    got = exact_dedup.drop_exact_copies(docs)
+    got = exact_dedup.drop_exact_copies(docs, memtable_rows=2)
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter([(5, "a"), (9, "b"), (None, "c"), (8, ""), (2, "x" * 100_000), (4, "a ")])
 
@@ -58,6 +58,20 @@ def test_index_probe_and_compaction(spark):
     assert exact_dedup.LsmDigestIndex().probe(spark.createDataFrame([(digests[0],)], "digest string")).collect() == []
 
 
+def test_many_hits_are_not_broadcast(spark, monkeypatch):
+    small = exact_dedup.if_small
+    monkeypatch.setattr(exact_dedup, "if_small", lambda t: small(t, -1))
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i // 4}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = exact_dedup.exact_dedup(docs).collect()
+    size = Counter(t for _, t in rows)
+    best = {t: max(str(i) for i, u in rows if u == t) for t in ("hot", "t0", "t7", "t749")}
+    text = {str(i): t for i, t in rows}
+    assert len(got) == 3000 and all(r.group_size == size[text[r.doc_id]] for r in got)
+    assert all(r.keep_id == best[text[r.doc_id]] for r in got if text[r.doc_id] in best)
+    assert sum(r.kept for r in got) == len(size) == exact_dedup.drop_exact_copies(docs).count()
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_dedup(empty).collect() == [] and exact_dedup.drop_exact_copies(empty).collect() == []
