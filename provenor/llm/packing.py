@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provenor.llm.common import Memo, materialise
+from provenor.llm.common import Memo, materialise, tidy
 
 SALTS = 256
 #: A run of letters that is its own normal form but for case, and what follows it: the run is a pre-token.
@@ -194,8 +194,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
                 if ids:
                     out["ids"] = pa.array([np.frombuffer(r, "<i4") for r in raw], pa.list_(pa.int32()))
                 yield pa.record_batch(out)
+        words.clear()
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)
 
 
 def place(table: DataFrame, capacity: int) -> DataFrame:
