@@ -46,12 +46,31 @@ from provenor.llm.common import materialise, partitions
 
 BITS = 64
 SEED = 42
+#: Multipliers that make further hashes of a hash.
+LANE_FACTORS = np.random.default_rng(7).integers(1, 2**64, 15, np.uint64) | np.uint64(1)
 
 
 def pivots(n: int = 16, seed: int = 9) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, np.uint64, endpoint=False)
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits set in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 8192):
+        ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def wide_fingerprint(h: np.ndarray, lanes: int) -> list[int]:
+    """A fingerprint of ``lanes`` times 64 bits, as signed numbers; the first lane is that of the hashes themselves."""
+    out = [majority(h)]
+    for f in LANE_FACTORS[: lanes - 1]:
+        x = (h ^ (h >> np.uint64(29))) * f
+        out.append(majority((x ^ (x >> np.uint64(32))) * f))
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
 def fingerprint(text: bytes, words: int) -> int:
     w = text.lower().split()
     if not w:
@@ -59,11 +78,7 @@ def fingerprint(text: bytes, words: int) -> int:
     n = len(w) - words + 1
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if n > 1 else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, max(n, 1))
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 8192):
-        ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, max(n, 1)))
 
 
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
