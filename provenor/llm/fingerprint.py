@@ -4,9 +4,9 @@ A fingerprint is a vector of numbers modulo 2^60, the sum of one vector for each
 paragraph of the text. Sums do not depend on order; adding or subtracting a
 paragraph's vector inserts or deletes it without reading the rest.
 
-* EXACT lanes add hashes of whole paragraphs (lines). They decide equality.
-* LIKENESS lanes add, for each piece of a paragraph (split after sentence marks,
-  commas, semicolons and bars), 60 bits of its hash, three 20-bit counters to a
+* EXACT lanes add hashes of whole paragraphs (lines), each lane with a seed of its own. They decide equality.
+* LIKENESS lanes add, for each piece of a paragraph (a line, split after sentence marks,
+  commas, semicolons and bars; no piece spans lines), 60 bits of its hash, three 20-bit counters to a
   number. Twice a counter less the number of pieces is a sum of random signs, so
   the squared distance of two vectors estimates how many pieces differ.
 
@@ -20,7 +20,7 @@ once, and to its predecessor the head that replaces its tail.
 
 Edge cases: null text counts as empty. Rows of one identifier (repeated rows) stand
 at one place in the order; their successor is the next identifier's smallest
-text. A null identifier stands before all others. A single document is its own
+text. A null identifier stands before all others; identifiers that are not integers stand in the order of their hashes. A single document is its own
 successor. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provenor.llm.common import partitions
+from provenor.llm.common import order_key, partitions
 
 EXACT, LIKENESS = 4, 20
 #: Counters of 20 bits, three in a number of 60 bits.
@@ -38,7 +38,8 @@ LANES = 3 * LIKENESS
 MODULUS_MASK = (1 << 60) - 1
 COUNTERS_MASK = 1 | 1 << 20 | 1 << 40
 COUNTER_MASK = (1 << 20) - 1
-NULL_ID = -(2**63)
+#: Where a line is cut into pieces.
+PIECE_END = r"(?<=[.!?,;|])\s+"
 #: The order of identifiers is found in that many ranges at most, one task each.
 RANGES = 64
 
@@ -46,23 +47,25 @@ RANGES = 64
 def with_vectors(df: DataFrame, **texts: str) -> DataFrame:
     """Add, for each ``name=text column``, the text's vector: EXACT sums, LIKENESS sums, the number of pieces.
 
-    The hashes are columns of a projection of their own: they are used by all the
+    The lines and the hashes are columns of projections of their own: they are used by all the
     sums, and only a column is sure to be computed once.
     """
 
-    def total(hashes: str, of) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: (acc + of(h)).bitwiseAND(F.lit(MODULUS_MASK)))
+    def total(values, of) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: (acc + of(x)).bitwiseAND(F.lit(MODULUS_MASK)))
 
-    def hashed(text: str, cut: str, seed: int) -> Column:
-        return F.transform(F.filter(F.split(text, cut), lambda p: p != ""), lambda p: F.xxhash64(p, F.lit(seed)))
+    def filled(parts: Column) -> Column:
+        return F.filter(parts, lambda p: p != "")
 
-    parts = {f"__{n}_lines": hashed(t, "\n", 0) for n, t in texts.items()} | {f"__{n}_pieces": hashed(t, r"\n|(?<=[.!?,;|])\s+", 1) for n, t in texts.items()}
+    lines = {f"__{n}_lines": filled(F.split(t, "\n")) for n, t in texts.items()}
+    pieces = {f"__{n}_pieces": F.transform(filled(F.flatten(F.transform(f"__{n}_lines", lambda p: F.split(p, PIECE_END)))), lambda p: F.xxhash64(F.lit(EXACT), p)) for n in texts}
     sums = {}
     for n in texts:
-        exact = [total(f"__{n}_lines", lambda h, j=j: F.xxhash64(h, F.lit(j)).bitwiseAND(F.lit(MODULUS_MASK))) for j in range(EXACT)]
+        # a hash's first argument seeds that of the second
+        exact = [total(f"__{n}_lines", lambda p, j=j: F.xxhash64(F.lit(j), p).bitwiseAND(F.lit(MODULUS_MASK))) for j in range(EXACT)]
         like = [total(f"__{n}_pieces", lambda h, j=j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(COUNTERS_MASK))) for j in range(LIKENESS)]
         sums[n] = F.array(*exact, *like, F.size(f"__{n}_pieces").cast("bigint"))
-    return df.withColumns(parts).withColumns(sums).drop(*parts)
+    return df.withColumns(lines).withColumns(pieces).withColumns(sums).drop(*lines, *pieces)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -125,21 +128,16 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has the last quarter of its code points (rounded down) replaced
     by as many from the start of the successor, or by all it has.
     """
-    p = partitions(docs.sparkSession)
-    base = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NULL_ID)).alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    dealt = base.repartition(p, "k")
+    spark = docs.sparkSession
+    base = docs.select(order_key(docs, id_col).alias("k"), docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    # vectors before the exchange, which both uses share because both ask for all its columns
+    dealt = with_vectors(base, vector="text").repartition(partitions(spark), "k")
     ids = base.select("k", F.length("text").alias("n"))
     wanted = ids.groupBy("k").agg(F.max("n").alias("n")).join(successors(ids), "k").select(F.col("k").alias("asker"), "next_k", F.floor(F.col("n") / 4).cast("int").alias("q"))
-    firsts = dealt.groupBy("k").agg(F.min("text").alias("text"))
-    heads = with_vectors(firsts.join(wanted, firsts["k"] == wanted["next_k"]), next_vector="text").select("asker", F.substring(F.col("text"), F.lit(1), F.col("q")).alias("head"), "next_vector")
+    firsts = dealt.groupBy("k").agg(F.min(F.struct("text", "vector", "doc_id")).alias("x"))
+    heads = firsts.join(wanted, firsts["k"] == wanted["next_k"]).select("asker", F.substring(F.col("x.text"), F.lit(1), F.col("q")).alias("head"), F.col("x.vector").alias("next_vector"))
     both = dealt.join(heads, dealt["k"] == heads["asker"])
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
-    out = both.select(
-        F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"),
-        n.cast("bigint").alias("n_chars"),
-        "text",
-        F.concat(F.substring(F.col("text"), F.lit(1), n - q), F.substring(F.col("head"), F.lit(1), q)).alias("edited"),
-        "next_vector",
-    )
-    return with_vectors(out, vector="text", edited_vector="edited")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - q), F.substring(F.col("head"), F.lit(1), q))
+    return with_vectors(both.select("doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "vector", "next_vector"), edited_vector="edited")

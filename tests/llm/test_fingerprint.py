@@ -1,6 +1,10 @@
 import hashlib
 import random
+import re
+import struct
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from provenor.llm import fingerprint
@@ -21,6 +25,61 @@ def test_edits_and_successors(spark):
         assert r.text == text and r.n_chars == len(text) and r.edited == text[: len(text) - q] + after[r.doc_id][:q]
 
 
+def vector(text):
+    """The sums, from the definition."""
+    seeded = lambda seed, x: xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
+    lines = [x for x in (text or "").split("\n") if x]
+    pieces = [seeded(fingerprint.EXACT, p) for x in lines for p in re.split(r"(?<=[.!?,;|])[ \t\x0b\f\r]+", x) if p]
+    exact = [sum(seeded(j, x) for x in lines) % 2**60 for j in range(fingerprint.EXACT)]
+    like = [sum(h >> j & (1 | 1 << 20 | 1 << 40) for h in pieces) % 2**60 for j in range(fingerprint.LIKENESS)]
+    return exact + like + [len(pieces)]
+
+
+def likeness(a, b):
+    if a == b:
+        return 1.0
+    signs = [[2 * (v[fingerprint.EXACT + i // 3] >> 20 * (i % 3) & (1 << 20) - 1) - v[-1] for i in range(fingerprint.LANES)] for v in (a, b)]
+    both = sum(x * x for v in signs for x in v)
+    return max(0.0, 1 - sum((x - y) ** 2 for x, y in zip(*signs, strict=True)) / both) if both else 0.0
+
+
+def test_query_matches_plain_code(spark, tmp_path):
+    from provenor.llm.queries import op6_fingerprint
+
+    rng = random.Random(4)
+    words = ["ab", "c.", "d, ", " e;", "é日", "f!  ", "\t", "g|\r"]
+    rows = [(rng.randrange(10**6), "".join(rng.choice([*words, " ", "\n"]) for _ in range(rng.randint(0, 60)))) for _ in range(120)]
+    rows += [(10**6 + 1, None), (10**6 + 2, ""), (10**6 + 3, rows[0][1]), (10**6 + 4, "\n".join(reversed(rows[0][1].split("\n")))), (-4, "a, b. " * 4000)]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    spark.createDataFrame([(i, t, "x", 1.0) for i, t in rows], "doc_id long, text string, vector string, k double").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op6_fingerprint(spark, str(tmp_path)).collect()}
+    texts = dict(sorted((i, t or "") for i, t in rows))
+    order = list(texts)
+    shown = lambda v: "".join(f"{x:015x}" for x in v)
+    assert len(got) == len(rows)
+    for n, i in enumerate(order):
+        t, after = texts[i], texts[order[(n + 1) % len(order)]]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        r, v = got[i], vector(t)
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(v), shown(vector(edited)))
+        assert (r.near_edited, r.near_next) == pytest.approx((likeness(v, vector(edited)), likeness(v, vector(after))))
+    assert got[10**6 + 3].fingerprint == got[10**6 + 4].fingerprint == got[rows[0][0]].fingerprint
+
+
+def test_order_of_lines_does_not_matter(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        lines = ["".join(rng.choice(["a.", "b, ", " ", "  c", "d! ", "\t"]) for _ in range(rng.randint(0, 5))) for _ in range(6)]
+        rows.append((2 * i, "\n".join(lines)))
+        rng.shuffle(lines)
+        rows.append((2 * i + 1, "\n".join(lines)))
+    fp = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(fp[2 * i] == fp[2 * i + 1] for i in range(60))
+
+
 def test_repeated_rows_null_ids_and_one_document(spark):
     docs = spark.createDataFrame([(1, "aaaa"), (1, "aaaa"), (2, "bbbb"), (2, "azzz"), (None, "cccc")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.edited) for r in fingerprint.edited_pairs(docs).collect()), key=str)
