@@ -14,26 +14,29 @@ MAX_DEPTH, MAX_VARIANTS, MIN_LETTERS, LOOKUP_LIMIT, RETAINED = 2, 400, 4, 12, 0.
 
 # Spellings that stand for each other, by rule; either may be written for the other.
 EXCHANGES = {
-    "latin_orthographic": ("latin", "c/k s/z ph/f y/i x/ks"),
-    "indic_aspirate": ("indic", "th/t dh/d bh/b kh/k gh/g ph/f ch/c jh/j"),
-    "indic_vowel_length": ("indic", "aa/a ee/i oo/u ii/i uu/u ai/ay au/ow"),
-    "indic_v_w": ("indic", "v/w"),
-    "indic_retroflex": ("indic", "tt/t dd/d nn/n ll/l"),
-    "indic_ksh": ("indic", "ksh/x sh/s"),
-    "cyrillic_yo_e": ("cyrillic", "yo/e iy/y ii/i kh/h"),
-    "arabic_orthographic": ("arabic", "ou/u kh/ch q/k aa/a ee/i"),
-    "pinyin_wade_giles": ("cjk", "zh/ch q/ch x/hs j/ch z/ts c/ts' b/p d/t g/k"),
-    "hepburn_kunrei": ("cjk", "shi/si chi/ti tsu/tu fu/hu ji/zi sha/sya cho/tyo jo/zyo"),
-    "korean_rr_mr": ("cjk", "b/p d/t g/k j/ch eo/o eu/u oe/oi"),
+    "latin_orthographic": ("latin", (("c", "k"), ("s", "z"), ("ph", "f"), ("y", "i"), ("x", "ks"))),
+    "indic_aspirate": ("indic", (("th", "t"), ("dh", "d"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("ph", "f"), ("ch", "c"), ("jh", "j"))),
+    "indic_vowel_length": ("indic", (("aa", "a"), ("ee", "i"), ("oo", "u"), ("ii", "i"), ("uu", "u"), ("ai", "ay"), ("au", "ow"))),
+    "indic_v_w": ("indic", (("v", "w"),)),
+    "indic_retroflex": ("indic", (("tt", "t"), ("dd", "d"), ("nn", "n"), ("ll", "l"))),
+    "indic_ksh": ("indic", (("ksh", "x"), ("sh", "s"))),
+    "cyrillic_yo_e": ("cyrillic", (("yo", "e"), ("iy", "y"), ("ii", "i"), ("kh", "h"))),
+    "arabic_orthographic": ("arabic", (("ou", "u"), ("kh", "ch"), ("q", "k"), ("aa", "a"), ("ee", "i"))),
+    "pinyin_wade_giles": ("cjk", (("zh", "ch"), ("q", "ch"), ("x", "hs"), ("j", "ch"), ("z", "ts"), ("c", "ts'"), ("b", "p"), ("d", "t"), ("g", "k"))),
+    "hepburn_kunrei": ("cjk", (("shi", "si"), ("chi", "ti"), ("tsu", "tu"), ("fu", "hu"), ("ji", "zi"), ("sha", "sya"), ("cho", "tyo"), ("jo", "zyo"))),
+    "korean_rr_mr": ("cjk", (("b", "p"), ("d", "t"), ("g", "k"), ("j", "ch"), ("eo", "o"), ("eu", "u"), ("oe", "oi"))),
 }
 # Vowels that are swapped one position at a time, and from which position on.
 VOWEL_SWAPS = {
     "indic_vowel_quality": ("indic", 1, {"a": "uo", "u": "ao", "i": "e", "e": "i", "o": "au"}),
     "arabic_vowel": ("arabic", 0, {"u": "o", "o": "u", "a": "e", "e": "a", "i": "e"}),
 }
-# Cyrillic in Latin letters, in alphabetical order, by standard.
-CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
-BGN_PCGN = "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya"
+# Cyrillic in Latin letters, by standard.
+BGN_PCGN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y",
+    "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
+    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
 ISO9_DIFFERS = {"ё": "yo", "х": "h", "щ": "sc", "ю": "ju", "я": "ja", "ж": "z", "ч": "c"}
 ALA_LC_DIFFERS = {"й": "i", "ю": "iu", "я": "ia"}
 UMLAUTS = {"ü": "ue", "ö": "oe", "ä": "ae", "ß": "ss"}
@@ -50,8 +53,8 @@ LOOKUP_SAFE = frozenset({"fold_diacritics", "german_umlaut_expand", "name_order_
 Spell = Callable[[str], Iterable[str]]
 
 
-def _exchange(pairs: str) -> Spell:
-    both = [p for pair in pairs.split() for a, b in [pair.split("/")] for p in ((a, b), (b, a))]
+def _exchange(pairs: Iterable[tuple[str, str]]) -> Spell:
+    both = [p for a, b in pairs for p in ((a, b), (b, a))]
     return lambda s: (s.replace(a, b) for a, b in both if a in s)
 
 
@@ -90,7 +93,6 @@ def _article(s: str) -> Iterable[str]:
 
 
 def _rules() -> dict[str, tuple[str, Spell]]:
-    bgn = {c: "" if r == "-" else r for c, r in zip(CYRILLIC, BGN_PCGN.split(), strict=True)}
     found: dict[str, tuple[str, Spell]] = {
         "fold_diacritics": ("latin", lambda s: ["".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))]),
         "german_umlaut_expand": ("latin", _letters(UMLAUTS)),
@@ -98,9 +100,9 @@ def _rules() -> dict[str, tuple[str, Spell]]:
         "indic_final_a": ("indic", lambda s: [s[:-1] if s.endswith("a") and len(s) > 3 else s + "a"]),
         "name_order_swap": ("any", _order),
         "initial_expand": ("any", _initials),
-        "cyrillic_bgn_pcgn": ("cyrillic", _letters(bgn)),
-        "cyrillic_iso9": ("cyrillic", _letters(bgn | ISO9_DIFFERS)),
-        "cyrillic_ala_lc": ("cyrillic", _letters(bgn | ALA_LC_DIFFERS)),
+        "cyrillic_bgn_pcgn": ("cyrillic", _letters(BGN_PCGN)),
+        "cyrillic_iso9": ("cyrillic", _letters(BGN_PCGN | ISO9_DIFFERS)),
+        "cyrillic_ala_lc": ("cyrillic", _letters(BGN_PCGN | ALA_LC_DIFFERS)),
         "arabic_article": ("arabic", _article),
     }
     found |= {n: (script, _exchange(pairs)) for n, (script, pairs) in EXCHANGES.items()}

@@ -70,7 +70,7 @@ def band(p: Column, independent: Column, is_definitional: Column) -> Column:
 
 # What a band says in words.
 ESTIMATIVE = {
-    "STRONG": "strongly supported by the evidence", "MODERATE": "moderately supported by the evidence", "LIMITED": "weakly supported by the evidence",
+    "STRONG_EVIDENCE": "strongly supported by the evidence", "MODERATE_EVIDENCE": "moderately supported by the evidence", "LIMITED_EVIDENCE": "weakly supported by the evidence",
     "WEAK": "insufficiently supported", "UNSUPPORTED": "contradicted or unsupported",
 }
 

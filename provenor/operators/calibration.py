@@ -142,7 +142,7 @@ def split_by_case(pairs: DataFrame, test_fraction: float = 0.3, seed: int = 0) -
     cases = sorted(r[0] for r in named.select("__case").distinct().collect())
     random.Random(seed).shuffle(cases)
     test = named.sparkSession.createDataFrame([(c,) for c in cases[: max(1, int(len(cases) * test_fraction))]], "__case string")
-    return named.join(F.broadcast(test), "__case", "left_anti").drop("__case"), named.join(F.broadcast(test), "__case", "left_semi").drop("__case")
+    return named.join(test, "__case", "left_anti").drop("__case"), named.join(test, "__case", "left_semi").drop("__case")
 
 
 def report(pairs: DataFrame, operational: float = 1e-5, bins: int = 10) -> str:

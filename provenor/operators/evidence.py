@@ -9,12 +9,17 @@ order of arrival; it decides every tie.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provenor.functions import constants as K
 from provenor.functions import scoring as S
 
 
+#: How many groups of evidence are shown of a pair.
+SHOWN = 5
+
+
 def complete(claims: DataFrame) -> DataFrame:
     """Fill what a claim may leave out."""
     return claims.withColumns({
@@ -140,12 +145,15 @@ def class_aggregate(groups: DataFrame) -> DataFrame:
     """(case_ref, a, b, class): the strongest group whole, the others discounted; and how many lines of evidence it is."""
     factor = F.element_at(F.create_map(*[F.lit(x) for p in K.DISCOUNTS.items() for x in p]), F.col("class"))
     counted = F.col("substantive") & (F.col("llr") != 0)
-    out = groups.groupBy("case_ref", "a", "b", "class").agg(
+    # what is shown of a pair is marked first, so that no row gathers more of its evidence than that
+    place = F.row_number().over(W.partitionBy("case_ref", "a", "b").orderBy((-F.abs("llr")), "ord", "gkey", "llr"))
+    shown = F.struct((-F.abs("llr")).alias("size"), "ord", "gkey", "llr")
+    out = groups.withColumn("place", place).groupBy("case_ref", "a", "b", "class").agg(
         F.count("*").alias("n_groups"), F.sum("llr").alias("raw"),
         # of equal strength the first
         F.min(F.struct((-F.abs("llr")).alias("size"), F.col("ord").alias("ord"), F.col("llr").alias("llr")))["llr"].alias("strongest"),
         F.count_if(counted).alias("counted"), F.bool_or("definitional").alias("definitional"), F.min("ord").alias("ord"),
-        F.collect_list(F.struct((-F.abs("llr")).alias("size"), "ord", "gkey", "llr")).alias("evidence"),
+        F.collect_list(F.when(F.col("place") <= SHOWN, shown)).alias("evidence"),
     )
     whole = (F.col("class") == "independent") | (F.col("n_groups") == 1)
     return out.withColumns({
@@ -162,7 +170,7 @@ def assessments(classes: DataFrame) -> DataFrame:
         F.bool_or("definitional").alias("definitional"), F.min("ord").alias("pair_ord"),
         F.sum("raw").alias("raw_total"), F.sum("adjusted").alias("adjusted_total"), F.sum("discounted").cast("bigint").alias("discounted_groups"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n_groups")))).alias("classes"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("evidence"))), 1, 5).alias("evidence"),
+        F.array_sort(F.flatten(F.collect_list("evidence"))).alias("evidence"),
     )
     out = out.withColumn("probability", S.probability(F.col("log_odds")))
     out = out.withColumn("band", S.band(F.col("probability"), F.col("independent_groups"), F.col("definitional")))

@@ -44,8 +44,8 @@ def scrub(texts: DataFrame, column: str, values: list[str], salt: bytes) -> Data
 
 # Words in the names of fields whose values are personal; plurals hold them too.
 SENSITIVE_WORDS = (
-    "address", "claim", "email", "handle", "identifier", "name", "person", "person_name", "phone", "postal_address", "query", "registrant",
-    "subject", "target",
+    "email", "person", "person_name", "handle", "phone", "address", "postal_address", "registrant", "subject", "claim", "identifier", "target",
+    "query", "name",
 )
 #: A word without its last s, so that any number of them is found.
 _STEMS = tuple(w.rstrip("s") for w in SENSITIVE_WORDS)

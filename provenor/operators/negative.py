@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from provenor.functions import scoring as S
 
-#: What two domains under common control should show: description, source, check.
+#: What two domains under common control should show: description, source, how to look.
 COMMON_CONTROL = (
-    ("{a} and {b} share a registrar", "rdap", "compare registrar entities"),
-    ("registration windows overlap", "rdap", "compare registration events"),
-    ("a certificate covers both names", "crtsh", "search certificates for both names"),
-    ("both declare the same ad-tech seller", "sellers_json", "compare DIRECT records"),
-    ("both appear in the archive over a common period", "wayback", "compare capture windows"),
+    ("the registrar of {a} is that of {b}", "rdap", "look both up and set the registrars side by side"),
+    ("{a} and {b} were registered at about the same time", "rdap", "set the dates of registration side by side"),
+    ("one certificate names {a} and {b}", "crtsh", "look for certificates with both among their names"),
+    ("{a} and {b} list one seller of advertisements as their own", "sellers_json", "set their direct sellers side by side"),
+    ("the archive has {a} and {b} from the same years", "wayback", "set the first and last captures side by side"),
 )
 
 

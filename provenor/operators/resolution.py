@@ -26,12 +26,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="provenor-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="provenor-"))
     return df.checkpoint()
 
 
 def mergeable(scored: DataFrame) -> DataFrame:
-    sure = F.col("definitional") & F.col("band").isin("MODERATE", "STRONG")
+    sure = F.col("definitional") & F.col("band").isin("MODERATE_EVIDENCE", "STRONG_EVIDENCE")
     return scored.where((F.col("log_odds") >= K.MERGE_LOG_ODDS) | sure)
 
 
@@ -43,7 +46,9 @@ def forbidden_pairs(claims: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(case_ref, key, component): minimum labels with pointer jumping until nothing changes."""
-    both = checkpointed(edges.select("case_ref", "a", "b").unionByName(edges.select("case_ref", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    # an edge's two ways are laid out from one row: what makes the edges runs once
+    both = checkpointed(edges.select("case_ref", F.explode(ways).alias("e")).select("case_ref", "e.a", "e.b").distinct())
     labels = checkpointed(both.groupBy("case_ref", F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("key", "b"), ["case_ref", "b"]).groupBy("case_ref", F.col("a").alias("key")).agg(F.min("component").alias("near"))
@@ -51,9 +56,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         above = labels.select("case_ref", F.col("key").alias("via"), F.col("component").alias("above"))
         labels = checkpointed(lower.join(above, ["case_ref", "via"]).select("case_ref", "key", "old", F.least("via", "above").alias("component")))
         if labels.where("old <> component").isEmpty():
-            break
+            return labels.select("case_ref", "key", "component")
         labels = labels.drop("old")
-    return labels.select("case_ref", "key", "component")
+    raise RuntimeError("components did not settle")
 
 
 def greedy(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -70,6 +70,19 @@ def decay_by_predicate(spark, sf):
     return c.select("claim_pos", F.round(S.decay(F.col("predicate"), F.col("observed_at"), V.as_of(V.AS_OF_LINES)), 6).alias("decay"))
 
 
+#: Days, written out here again so that a value that slips elsewhere is seen.
+_HALF_LIVES = """h(predicate, days) AS (VALUES ('same_as', NULL), ('shares_analytics_id', 545), ('shares_gravatar', 1095), ('shares_cert', 365), ('shares_favicon', 365), ('co_hosted', 180),
+  ('commit_email', 1095), ('key_binding', 1460), ('profile_binding', 730), ('registrant', 730), ('owner_domain', 1095), ('manager_domain', 730), ('seller_of', 1095), ('legal_name', NULL),
+  ('incorporated_in', NULL), ('registered_address', 1460), ('officer_of', 1825), ('beneficial_owner_of', 1825), ('parent_of', 1825), ('employed_by', 730), ('operates', 730), ('timezone_hint', 365), ('contradicts', 730))"""
+
+
+@query(f"WITH {_HALF_LIVES} SELECT n_nationkey, predicate, round(CASE WHEN days IS NULL THEN 1.0 ELSE pow(0.5, n_nationkey * 100.0 / days) END, 6) AS decay FROM nation, h")
+def decay_every_predicate(spark, sf):
+    n = V.read(spark, sf, "nation").select("n_nationkey", F.explode(F.array(*[F.lit(x) for x in K.PREDICATES])).alias("predicate"))
+    observed = V.as_of() - F.make_dt_interval(F.col("n_nationkey").cast("int") * 100)
+    return n.select("n_nationkey", "predicate", F.round(S.decay(F.col("predicate"), observed, V.as_of()), 6).alias("decay"))
+
+
 @query("SELECT event_id, lower(event_type) || '|u' || user_id AS gkey FROM events")
 def canonical_group(spark, sf):
     noisy = F.concat(F.lit(" "), F.upper("event_type"), F.lit("|U"), F.col("user_id").cast("string"), F.lit("|"), (F.col("event_id") % 1000).cast("string"))
@@ -92,30 +105,11 @@ def ingest_demote_running(spark, sf):
     return I.verdicts(V.claims_customer(spark, sf)).select("claim_pos", "verdict", F.col("holders_before").cast("bigint").alias("holders_before"))
 
 
-_FILTER_ROWS = [
-    (1, "email", "info@a.example", "commit_email"), (2, "email", "noreply-7@a.example", "commit_email"), (3, "email", "jane@a.example", "commit_email"),
-    (4, "org_name", "Domains By Proxy, LLC", "registrant"), (5, "org_name", "C T Corporation System", "legal_name"), (6, "org_name", "Ab", "legal_name"),
-    (7, "org_name", "Cloudflare, Inc.", "registrant"), (8, "postal_address", "c/o Trident Trust, Tortola", "registered_address"), (9, "domain", "cdn.example", "co_hosted"), (10, "org_name", "Acme Ltd", "registrant"),
-]
-_FILTER_WANT = ["drop", "drop", "keep", "drop", "demote", "drop", "demote", "demote", "demote", "keep"]
-
-
-@query("WITH x(claim_pos, verdict) AS (VALUES " + ", ".join(f"({i + 1}, '{v}')" for i, v in enumerate(_FILTER_WANT)) + """) SELECT claim_pos::BIGINT AS claim_pos, verdict FROM x
-UNION ALL SELECT 100 + doc_id, CASE WHEN list_contains(['admin','administrator','abuse','postmaster','hostmaster','webmaster','noreply','no-reply','donotreply','support','info','contact','sales','billing','help','security','dns','root','office','mail','legal','privacy','dpo','gdpr','team','hello','service','notifications'], split_part(m, '@', 1)) OR starts_with(m, 'noreply') THEN 'drop' ELSE 'keep' END
-FROM (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+', 0)) AS m FROM documents) WHERE m <> ''""")
-def ingest_verdict(spark, sf):
-    rows = spark.createDataFrame(_FILTER_ROWS, "claim_pos long, object_kind string, object_value string, predicate string")
-    mail = F.lower(F.regexp_extract("text", "[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+", 0))
-    found = V.read(spark, sf, "documents").select((F.lit(100) + F.col("doc_id")).alias("claim_pos"), F.lit("email").alias("object_kind"), mail.alias("object_value"), F.lit("commit_email").alias("predicate")).where("object_value <> ''")
-    c = rows.unionByName(found).withColumns({"case_ref": F.lit("all"), "subject_key": F.concat(F.lit("handle:"), F.col("claim_pos").cast("string")), "object_key": F.concat_ws(":", "object_kind", "object_value")})
-    return I.verdicts(c, spark.createDataFrame([("cdn.example",)], "domain string")).select("claim_pos", "verdict")
-
-
 @query("""WITH x AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+') AS f FROM documents), u AS (SELECT doc_id, unnest(f) AS m, unnest(range(len(f))) AS i FROM x),
 c AS (SELECT 100 + doc_id * 1000000 + i AS claim_pos, lower(m) AS m FROM u)
 SELECT claim_pos::BIGINT AS claim_pos, m AS address, CASE WHEN list_contains(['admin','administrator','abuse','postmaster','hostmaster','webmaster','noreply','no-reply','donotreply','support','info','contact','sales','billing','help','security','dns','root','office','mail','legal','privacy','dpo','gdpr','team','hello','service','notifications'], split_part(m, '@', 1)) OR starts_with(m, 'noreply') THEN 'drop' WHEN row_number() OVER (PARTITION BY m ORDER BY claim_pos) > 250 THEN 'demote' ELSE 'keep' END AS verdict FROM c""")
-def ingest_verdict_all(spark, sf):
-    """Every address of every document; the SQL of ingest_verdict judges a document's first."""
+def ingest_verdict(spark, sf):
+    """Every address of every document."""
     mails = F.regexp_extract_all("text", F.lit("[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+"), F.lit(0))
     found = V.read(spark, sf, "documents").select("doc_id", F.posexplode(mails).alias("i", "mail"))
     c = found.select((F.lit(100) + F.col("doc_id") * 1_000_000 + F.col("i")).alias("claim_pos"), F.lit("email").alias("object_kind"), F.lower("mail").alias("object_value"), F.lit("commit_email").alias("predicate"))
@@ -177,7 +171,7 @@ def band_distribution(spark, sf):
     return _scored(spark, sf).groupBy("band").agg(F.count("*").alias("n"))
 
 
-@query(f"{PAIRS} SELECT count(*)::BIGINT AS pairs, count(*) FILTER (band = 'STRONG')::BIGINT AS strong, count(*) FILTER (band = 'MODERATE')::BIGINT AS moderate FROM p")
+@query(f"{PAIRS} SELECT count(*)::BIGINT AS pairs, count(*) FILTER (band = 'STRONG_EVIDENCE')::BIGINT AS strong, count(*) FILTER (band = 'MODERATE_EVIDENCE')::BIGINT AS moderate FROM p")
 def headline_counts(spark, sf):
     return X.headline(_scored(spark, sf))
 
@@ -290,7 +284,7 @@ def brier(spark, sf):
     return C.brier(V.labelled_pairs(spark, sf)).select(r6("score"), r6("reliability"), r6("resolution"), r6("uncertainty"))
 
 
-@query(f"""{L}, b AS (SELECT CASE WHEN predicted >= 0.95 THEN 'STRONG' WHEN predicted >= 0.8 THEN 'MODERATE' WHEN predicted >= 0.55 THEN 'LIMITED' WHEN predicted >= 0.2 THEN 'WEAK' ELSE 'UNSUPPORTED' END AS band, label FROM l),
+@query(f"""{L}, b AS (SELECT CASE WHEN predicted >= 0.95 THEN 'STRONG_EVIDENCE' WHEN predicted >= 0.8 THEN 'MODERATE_EVIDENCE' WHEN predicted >= 0.55 THEN 'LIMITED_EVIDENCE' WHEN predicted >= 0.2 THEN 'WEAK' ELSE 'UNSUPPORTED' END AS band, label FROM l),
 t AS (SELECT count(*) FILTER (label) AS hits, avg(label::INT) AS s FROM l), g AS (SELECT band, count(*) AS n, count(*) FILTER (label) AS tp, count(*) FILTER (label) / count(*) AS prec FROM b GROUP BY 1),
 q AS (SELECT *, greatest(least(prec, 1 - 1e-12), 1e-12) AS c FROM g, t), o AS (SELECT *, c / (1 - c) * (1e-5 / (1 - 1e-5)) / (s / (1 - s)) AS odds FROM q)
 SELECT band, n::BIGINT AS n, tp::BIGINT AS true_positives, round(prec, 6) AS precision_sample, round(odds / (1 + odds), 6) AS precision_operational, round(tp / hits, 6) AS recall FROM o""")
@@ -323,25 +317,23 @@ def split_by_case(spark, sf):
     return train.select("a", "case_ref", F.lit("train").alias("part")).unionByName(test.select("a", "case_ref", F.lit("test").alias("part")))
 
 
-@query("SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')))) AS normal FROM documents WHERE text NOT SIMILAR TO '(.|\\n)*[^\\x00-\\x7F](.|\\n)*'")
-def normalize_ascii(spark, sf):
-    d = V.read(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", F.md5(T.normalise(F.col("text"), True, ascii_only=True)).alias("normal"))
+_DISGUISES = {"bidi_control": K.BIDI, "control_char": "", "homoglyph": K.HOMOGLYPHS_FROM, "zero_width": K.ZERO_WIDTH}
+_CLASS = {name: "".join(rf"\x{{{ord(c):x}}}" for c in chars) or r"\x00-\x08\x0b-\x1f\x7f-\x{9f}" for name, chars in _DISGUISES.items()}
+_SCAN = ", ".join(f"CASE WHEN regexp_matches(text, '[{chars}]') THEN '{name}' END" for name, chars in _CLASS.items())
+_CLASS_HIDDEN = _CLASS["zero_width"] + _CLASS["bidi_control"]
+_quoted = lambda x: x.replace("'", "''")
+_TRANSLATED = f"translate(translate(regexp_replace(regexp_replace(text, '[{_CLASS_HIDDEN}]', '', 'g'), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g'), '{K.HOMOGLYPHS_FROM}', '{K.HOMOGLYPHS_TO}'), '{K.PUNCTUATION_FROM}', '{_quoted(K.PUNCTUATION_TO)}')"
 
 
-@query()
+@query(f"SELECT doc_id, md5(lower(trim(regexp_replace(nfc_normalize({_TRANSLATED}), '\\s+', ' ', 'g')))) AS normal FROM documents")
 def normalize_documents(spark, sf):
-    """Every document, with NFKC; the SQL of normalize_ascii says only what plain ASCII needs."""
+    """Every document in its normal form. The SQL has NFC where the library has NFKC: the tables hold no compatibility characters."""
     return V.read(spark, sf, "documents").select("doc_id", F.md5(T.normalise(F.col("text"), True)).alias("normal"))
 
 
-_DISGUISED = [("pаypal.example", "homoglyph"), ("exa​mple.com", "zero_width"), ("‎example.com", "bidi_control"), ("bell\x07.example", "control_char"), ("plain.example", "")]
-
-
-@query("WITH x(value, findings) AS (VALUES " + ", ".join(f"('{v[:3].encode('ascii', 'replace').decode()}' || {i}, '{f}')" for i, (v, f) in enumerate(_DISGUISED)) + ") SELECT * FROM x")
+@query(f"SELECT doc_id, concat_ws(',', {_SCAN}) AS findings FROM documents")
 def scan_text(spark, sf):
-    rows = spark.createDataFrame([(f"{v[:3].encode('ascii', 'replace').decode()}{i}", v) for i, (v, _) in enumerate(_DISGUISED)], "value string, text string")
-    return rows.select("value", F.array_join(T.scan(F.col("text")), ",").alias("findings"))
+    return V.read(spark, sf, "documents").select("doc_id", F.coalesce(F.array_join(F.array_sort(T.scan(F.col("text"))), ","), F.lit("")).alias("findings"))
 
 
 @query("SELECT CASE WHEN regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f]') THEN 'control_char' ELSE 'none' END AS finding, count(*)::BIGINT AS n FROM documents GROUP BY 1")
@@ -366,19 +358,23 @@ def masked_identifiers(spark, sf):
 
 @query()
 def scrubbed_text(spark, sf):
-    pages = V.read(spark, sf, "pages").select("page_id", "url")
-    return M.scrub(pages, "url", ["example.com", "page"], b"salt")
+    pages = V.read(spark, sf, "pages").select("page_id", "html")
+    return M.scrub(pages, "html", ["example.com", "Jane Doe", "page"], b"salt")
 
 
 @query()
 def name_variants(spark, sf):
-    return N.expand(V.read(spark, sf, "nation"), "n_name").select("name", "variant", F.array_join("chain", ">").alias("chain"), "depth")
+    names = V.read(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(V.read(spark, sf, "supplier").select(F.col("s_name").alias("name"))).distinct()
+    return N.expand(names, "name").select("name", "variant", F.array_join("chain", ">").alias("chain"), "depth")
 
 
 @query()
 def name_match(spark, sf):
-    rows = [("Lakshmi", "Laxmi"), ("Vemuganti", "Vemugunti"), ("Мосэнерго", "Mosenergo"), ("Müller", "Mueller"), ("Zhang Wei", "Chang Wei"), ("Kraken", "Phoenix"), ("Li", "Lee")]
-    return spark.createDataFrame(rows, "a string, b string").withColumn("m", N.match_column("a", "b")).select("a", "b", "m.matched", "m.form", F.array_join("m.chain_a", ">").alias("chain_a"), F.array_join("m.chain_b", ">").alias("chain_b"), "m.transforms")
+    """Names of nations and the words of part names that may be spellings of each other."""
+    words = V.read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name")).where("name <> ''")
+    names = V.read(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(words).distinct()
+    found = N.match_names(names, names)
+    return found.select("a", "b", "form", F.array_join("chain_a", ">").alias("chain_a"), F.array_join("chain_b", ">").alias("chain_b"), "transforms")
 
 
 @query()
@@ -462,20 +458,11 @@ def map_edges(spark, sf):
     return X.map_edges(_scored(spark, sf)).select("a", "b", r6("log_odds"), "band")
 
 
-@query(f"""WITH RECURSIVE {V.SQL_CLAIMS}, g AS (SELECT DISTINCT subject_key AS a, regexp_replace(object_key, '-d.*', '') AS b FROM claims WHERE claim_pos % 50 = 0),
+@query(f"""WITH RECURSIVE {V.SQL_CLAIMS}, g AS (SELECT DISTINCT subject_key AS a, regexp_replace(object_key, '-d.*', '') AS b FROM claims),
 m AS (SELECT a, replace(b, 'service_id:', 'handle:s') AS b FROM g UNION SELECT replace(b, 'service_id:', 'handle:s'), a FROM g),
 w AS (SELECT 'handle:u1' AS key, 0 AS depth UNION SELECT m.b, w.depth + 1 FROM w JOIN m ON m.a = w.key WHERE w.depth < 2) SELECT key, min(depth) AS depth FROM w GROUP BY 1""")
 def frontier_bfs(spark, sf):
-    c = V.claims_events(spark, sf).where("claim_pos % 50 = 0")
-    thing = F.concat(F.lit("s"), F.regexp_replace("object_value", "-d.*", ""))
-    c = c.withColumns({"object_kind": F.lit("handle"), "object_value": thing, "object_key": F.concat(F.lit("handle:"), thing)})
-    seeds = spark.createDataFrame([("handle:u1", "handle", "u1")], "key string, kind string, value string")
-    return G.expand(seeds, [G.over_claims(c)], radius=2).seen.select("key", "depth")
-
-
-@query()
-def frontier_bfs_all(spark, sf):
-    """frontier_bfs over all claims; its recursive SQL looks at every fiftieth."""
+    """Two steps from one seed over all claims, with room for every node."""
     c = V.claims_events(spark, sf)
     thing = F.concat(F.lit("s"), F.regexp_replace("object_value", "-d.*", ""))
     c = c.withColumns({"object_kind": F.lit("handle"), "object_value": thing, "object_key": F.concat(F.lit("handle:"), thing)})

@@ -75,7 +75,7 @@ k0 AS (SELECT case_ref, a, b, class, count(*) AS n, sum(llr) AS raw, first(llr O
 k AS (SELECT *, CASE WHEN n = 1 THEN raw ELSE top + (CASE class WHEN 'site_setup' THEN 0.25 WHEN 'monetization_setup' THEN 0.30 WHEN 'registration' THEN 0.15 ELSE 0.20 END) * (raw - top) END AS adjusted FROM k0),
 p0 AS (SELECT case_ref, a, b, ln(1e-5) + sum(adjusted) AS log_odds, sum(lines)::BIGINT AS independent_groups, min(ord) AS ord FROM k GROUP BY 1, 2, 3),
 p1 AS (SELECT *, 1 / (1 + exp(-log_odds)) AS probability FROM p0),
-p AS (SELECT *, CASE WHEN probability >= 0.95 AND independent_groups >= 2 THEN 'STRONG' WHEN probability >= 0.8 AND independent_groups >= 2 THEN 'MODERATE' WHEN probability >= 0.55 AND independent_groups >= 2 THEN 'LIMITED' WHEN probability >= 0.2 THEN 'WEAK' ELSE 'UNSUPPORTED' END AS band FROM p1)"""
+p AS (SELECT *, CASE WHEN probability >= 0.95 AND independent_groups >= 2 THEN 'STRONG_EVIDENCE' WHEN probability >= 0.8 AND independent_groups >= 2 THEN 'MODERATE_EVIDENCE' WHEN probability >= 0.55 AND independent_groups >= 2 THEN 'LIMITED_EVIDENCE' WHEN probability >= 0.2 THEN 'WEAK' ELSE 'UNSUPPORTED' END AS band FROM p1)"""
 
 
 def claims_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

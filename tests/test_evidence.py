@@ -60,7 +60,7 @@ def shared(obj, group, collector, a="domain:a.example", b="domain:b.example"):
 def test_two_shared_identifiers_merge_and_one_does_not(spark):
     both = shared("analytics_id:ua-1", "analytics", "artifacts") + shared("seller_id:s-1", "sellers_json", "sellers_json")
     r = score(spark, both)["domain:a.example", "domain:b.example"]
-    assert r.log_odds == pytest.approx(-11.512925 + 10 + 10.4, abs=1e-5) and r.independent_groups == 2 and r.band == "STRONG"
+    assert r.log_odds == pytest.approx(-11.512925 + 10 + 10.4, abs=1e-5) and r.independent_groups == 2 and r.band == "STRONG_EVIDENCE"
     one = score(spark, shared("analytics_id:ua-1", "analytics", "artifacts"))["domain:a.example", "domain:b.example"]
     assert one.log_odds == pytest.approx(-1.512925, abs=1e-5) and one.independent_groups == 1
 
@@ -68,7 +68,7 @@ def test_two_shared_identifiers_merge_and_one_does_not(spark):
 def test_registry_assertion_is_definitional(spark):
     registry = [("org_name:acme", "same_as", "lei:5493", "gleif", "gleif|1", {})]
     r = score(spark, registry)["lei:5493", "org_name:acme"]
-    assert (r.log_odds, r.probability) == pytest.approx((1.897121, 0.869565), abs=1e-6) and r.definitional and r.band == "MODERATE"
+    assert (r.log_odds, r.probability) == pytest.approx((1.897121, 0.869565), abs=1e-6) and r.definitional and r.band == "MODERATE_EVIDENCE"
     hostile = score(spark, [("org_name:acme", "same_as", "lei:5493", "subject_html:gleif", "page|1", {})])["lei:5493", "org_name:acme"]
     assert not hostile.definitional and hostile.band in ("WEAK", "UNSUPPORTED")
 

@@ -182,7 +182,7 @@ def test_frontier_keeps_radius_and_budget(spark):
 
 
 def test_mermaid_and_reports(spark):
-    scored = spark.createDataFrame([("domain:a", "domain:b", 5.0, "STRONG"), ("domain:a", "domain:c|x", 1.0, "WEAK"), ("q", "r", -5.0, "UNSUPPORTED")], "a string, b string, log_odds double, band string")
+    scored = spark.createDataFrame([("domain:a", "domain:b", 5.0, "STRONG_EVIDENCE"), ("domain:a", "domain:c|x", 1.0, "WEAK"), ("q", "r", -5.0, "UNSUPPORTED")], "a string, b string, log_odds double, band string")
     text = X.mermaid(X.map_edges(scored))
     assert "==>" in text and "-->" in text and '"q"' not in text
     none = spark.createDataFrame([], "a string, b string, reason string")
