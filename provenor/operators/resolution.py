@@ -7,14 +7,13 @@ largest component, not the number of claims.
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenor.functions import constants as K
 from provenor.functions.text import entity_type, kind_of
+from provenor.scratch import scratch_dir
 
 MUST_NOT_LINK = "must-not-link"
 TOO_FEW_GROUPS = "insufficient independent evidence groups"
@@ -23,13 +22,9 @@ TYPE_CONFLICT = "type conflict"
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the session's shared checkpoint folder; one is made where none is set, as in tests."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="provenor-"))
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
 
 
