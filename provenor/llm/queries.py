@@ -91,7 +91,18 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
 }
 
+_WORDS = "unnest(w) AS word, unnest(range(len(w))) AS i"
+_WINDOW = " || ' ' || ".join(["word"] + [f"lead(word, {n}) OVER d" for n in range(1, 20)])
+
 ORACLE_SQL = {
+    "op3_substring_dedup": f"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        u AS (SELECT doc_id, {_WORDS} FROM t),
+        s AS (SELECT doc_id, i, {_WINDOW} AS win FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM s WHERE win IS NOT NULL) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, range(20) r(k)),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)""",
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
         g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
