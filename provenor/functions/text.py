@@ -99,6 +99,13 @@ def identifier_value(kind: Column, value: Column, ascii_only: bool = False) -> C
     return F.when(kind == "lei", F.upper(s)).when(kind == "cik", cik).otherwise(s)
 
 
+def observed(kind: Column, raw: Column, ascii_only: bool = False) -> Column:
+    """value, key, observed_as (null where it is the value) and was_obfuscated of an identifier as it was met."""
+    value = identifier_value(kind, raw, ascii_only)
+    found = findings(raw, kind.isin(*K.CASE_INSENSITIVE), ascii_only=ascii_only)
+    return F.struct(value.alias("value"), key(kind, value).alias("key"), F.when(raw != value, raw).alias("observed_as"), F.coalesce(deliberate(found), F.lit(False)).alias("was_obfuscated"), found.alias("findings"))
+
+
 def key(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, value)
 

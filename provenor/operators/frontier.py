@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from provenor.functions import constants as K
 from provenor.functions.text import lookup
+from provenor.operators.record import audit
 from provenor.operators.resolution import checkpointed
+from provenor.sources.case import Case, source_class
 
 
 @dataclass(frozen=True)
@@ -22,13 +25,19 @@ class Collector:
     collect: Callable[[DataFrame], DataFrame]
     source_class: str = "public_registry"
     priority: int = 5
+    person_scoped: bool = False
 
 
 @dataclass(frozen=True)
 class Expansion:
+    """``stopped``: the budget that ended it early; ``gated``: collectors that were not asked, and why."""
+
     claims: DataFrame | None
     seen: DataFrame
     nodes_truncated: bool
+    stopped: str = ""
+    requests: int = 0
+    gated: tuple[tuple[str, str], ...] = ()
 
 
 def over_claims(claims: DataFrame, name: str = "table", accepts: tuple[str, ...] = K.KINDS) -> Collector:
@@ -41,11 +50,37 @@ def over_claims(claims: DataFrame, name: str = "table", accepts: tuple[str, ...]
     return Collector(name, accepts, collect)
 
 
-def expand(seeds: DataFrame, collectors: list[Collector], ingest: Callable[[DataFrame], DataFrame] = lambda c: c, radius: int = 3, max_nodes: int = 20_000, before_resolve: Callable[[DataFrame], DataFrame] | None = None) -> Expansion:
-    """``seeds``: key, kind, value. Each level's identifiers are asked for once; those of pivotable kinds are gone on with."""
+def expand(seeds: DataFrame, collectors: list[Collector], ingest: Callable[[DataFrame], DataFrame] = lambda c: c, radius: int = 3, max_nodes: int = 20_000, before_resolve: Callable[[DataFrame], DataFrame] | None = None, case: Case | None = None) -> Expansion:
+    """``seeds``: key, kind, value. Each level's identifiers are asked for once; those of pivotable kinds are gone on with.
+
+    A ``case`` sets radius and budgets, keeps out collectors of persons that it does not allow, and is told in its
+    audit log what was gated or cut. Collectors of denied classes are refused before anything is asked. A budget of
+    requests is spent level by level: a level that would exceed it is not asked.
+    """
+    for c in collectors:
+        source_class(c.source_class)
+    gated, stopped, requests, begun = [], "", 0, time.monotonic()
+    most, longest = (1 << 62, 1 << 62)
+    if case is not None:
+        radius, max_nodes, most, longest = case.pivot_radius, case.max_nodes, case.max_requests, case.max_runtime_s
+        for c in [c for c in collectors if c.person_scoped]:
+            ok, why = case.persona_gate(c.name)
+            if not ok:
+                gated.append((c.name, why))
+                audit(case, "collector_gated", collector=c.name, reason=why)
+        collectors = [c for c in collectors if c.name not in dict(gated)]
     seen = checkpointed(seeds.select("key", "kind", "value").dropDuplicates(["key"]).withColumn("depth", F.lit(0)))
     level, gathered, cut = seen, None, False
     for depth in range(radius + 1):
+        if time.monotonic() - begun > longest:
+            stopped = "max_runtime_s"
+            break
+        if case is not None:
+            asked = level.agg(*[F.count_if(F.col("kind").isin(*c.accepts)).alias(f"n{i}") for i, c in enumerate(collectors)]).head() if collectors else ()
+            if requests + sum(asked) > most:
+                stopped = "max_requests"
+                break
+            requests += sum(asked)
         found = None
         for c in sorted(collectors, key=lambda c: c.priority):
             got = c.collect(level.where(F.col("kind").isin(*c.accepts)))
@@ -68,4 +103,6 @@ def expand(seeds: DataFrame, collectors: list[Collector], ingest: Callable[[Data
         seen = checkpointed(seen.unionByName(level))
     if gathered is not None and before_resolve:
         gathered = before_resolve(gathered)
-    return Expansion(gathered, seen, cut)
+    if case is not None and (stopped or cut):
+        audit(case, "budget_stop", reason=stopped or "max_nodes")
+    return Expansion(gathered, seen, cut, stopped, requests, tuple(gated))

@@ -53,7 +53,11 @@ def bodies(captures: DataFrame) -> DataFrame:
 
 def with_digests(captures: DataFrame) -> DataFrame:
     size = F.octet_length("body")
-    return captures.withColumns({"body_sha256": F.sha2("body", 256), "body_bytes": size.cast("bigint"), "outcome": outcome(F.col("status"), size)}).withColumn("body_path", F.when(size > 0, F.concat(F.lit("bodies/"), "body_sha256")).otherwise("")).drop("body")
+    told = outcome(F.col("status"), size)
+    if "outcome" in captures.columns:
+        # what the recorder says: not there (empty), or not asked (refused)
+        told = F.coalesce("outcome", told)
+    return captures.withColumns({"body_sha256": F.sha2("body", 256), "body_bytes": size.cast("bigint"), "outcome": told}).withColumn("body_path", F.when(size > 0, F.concat(F.lit("bodies/"), "body_sha256")).otherwise("")).drop("body")
 
 
 _ENTRY = "case_ref string, sequence long, url string, method string, requested_at string, status int, body_sha256 string, body_bytes long, body_path string, collector string, outcome string, note string, request_headers map<string,string>, response_headers map<string,string>, egress string, prev_hash string, entry_hash string"
@@ -208,6 +212,19 @@ def fetch_decisions(urls: DataFrame, robots: DataFrame, policy: str = "record",
     return out.select("url", allowed.alias("allowed"), F.lit(policy).alias("policy"), "directive", F.when(rules, F.col("r.crawl_delay")).alias("crawl_delay"))
 
 
+def disallowed(decisions: DataFrame, limit: int = 100) -> DataFrame:
+    """(url, directive, fetched): the first that the rules forbid, for the manifest."""
+    return decisions.where(~F.col("allowed")).select("url", "directive", should_fetch().alias("fetched")).orderBy("url").limit(limit)
+
+
+def fetch_statement(policy: str, forbidden: int, fetched: int) -> str:
+    """In words, what was done about the sites' rules."""
+    if policy == "ignore":
+        return "The sites' rules for robots were not read, so nothing is said of what they forbid."
+    said = f"The rules of each site were read. They forbid {forbidden} addresses"
+    return f"{said}, which were not fetched." if policy == "respect" else f"{said}, of which {fetched} were fetched and marked so."
+
+
 def should_fetch() -> Column:
     return F.col("allowed") | (F.col("policy") != "respect")
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenor.functions.text import identifier_value, key, seed
-from provenor.operators import ingest, provenance
+from provenor.operators import ingest, provenance, record
 
 LABELLED = "a string, b string, label boolean, predicted double, log_odds double, band string, independent_groups int, label_source string, case_ref string, notes string"
 MANIFEST = (
@@ -66,12 +67,16 @@ def verify_package(spark: SparkSession, root: str) -> DataFrame:
     return problems
 
 
-def write_package(captures: DataFrame, root: str, **envelope) -> None:
-    """A case's chained captures, bodies and manifest; the manifest is one file, as verifiers expect."""
+def write_package(captures: DataFrame, root: str, shots: record.Shots | None = None, **envelope) -> None:
+    """A case's chained captures, bodies and manifest, with a draft declaration, how to have it time-stamped and a verifier.
+
+    The manifest is one file, as verifiers expect. Where the folder is a local one, only its owner may read it.
+    """
     spark = captures.sparkSession
     entries = provenance.chain(provenance.with_digests(captures)).orderBy("sequence").collect()
     rows = [{k: v for k, v in e.asDict().items() if k != "case_ref"} for e in entries]
     doc = {"schema": "manifest/1", "case_ref": entries[0]["case_ref"] if entries else envelope.get("case_ref"), **envelope, "capture_count": len(rows), "manifest_hash": rows[-1]["entry_hash"] if rows else "", "captures": rows}
+    doc["outcomes"] = {o: sum(r["outcome"] == o for r in rows) for o in ("success", "empty", "error", "refused")} | (envelope.get("outcomes") or {})
     doc["envelope_digest"] = provenance.envelope_digest(doc)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -84,3 +89,15 @@ def write_package(captures: DataFrame, root: str, **envelope) -> None:
     for b in provenance.bodies(captures).toLocalIterator():
         put(f"bodies/{b.body_sha256}", bytes(b.body))
     put("evidence_manifest.json", json.dumps(doc, sort_keys=True).encode())
+    put("TIMESTAMP.md", record.TIMESTAMP.format(manifest_hash=doc["manifest_hash"]).encode())
+    problems = [f"{r.sequence}: {r.problem}" for r in verify_package(spark, root).collect()]
+    put("DECLARATION_DRAFT.md", record.declaration(doc, problems).encode())
+    put("verify.py", record.VERIFIER.format(fields=provenance.ENTRY_FIELDS, envelope=provenance.ENVELOPE_FIELDS, schema=provenance.ENTRY_SCHEMA).encode())
+    if shots is not None:
+        put("screenshots.json", shots.json().encode())
+        put("SCREENSHOTS.txt", shots.text().encode())
+    if not root.startswith(("hdfs:", "s3")) and os.path.isdir(local := root.removeprefix("file://")):
+        for folder, _, names in os.walk(local):
+            os.chmod(folder, 0o700)
+            for name in names:
+                os.chmod(os.path.join(folder, name), 0o600)
