@@ -5,6 +5,8 @@ from the one before it (the end, at the start): score(w | h) = q_h . r_w + b_w,
 ``size - 2`` most frequent words, the end and one token for all other words, whose share is
 divided by their counts plus one (words never seen count as one word more). Scores are
 made a distribution by the sum over all tokens, a table from batched matrix products.
+``size`` is by default about the square root of the training tokens, up to ``MOST``: every worker
+holds the table, whose size is the square.
 
 It is fitted by noise-contrastive estimation in numpy. What the objective needs of the
 corpus are the counts of pairs of tokens; they are counted over all training texts
@@ -31,11 +33,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenor.llm.common import materialise
+from provenor.llm.common import materialise, tidy
 
 #: The end as a row of the counts; no word is empty.
 END = b""
 END_ID, OTHER_ID = 0, 1
+LEAST, MOST = 256, 4096
+
+
+def size_for(total: int) -> int:
+    """The next power of two above the square root of the training tokens, within bounds."""
+    return min(max(LEAST, 1 << -(-max(total - 1, 0).bit_length() // 2)), MOST)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -97,10 +105,11 @@ def unigrams(train: DataFrame, flush: int = 300_000) -> DataFrame:
     return train.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def vocabulary(counts: DataFrame, size: int, hot: int) -> Vocabulary:
+def vocabulary(counts: DataFrame, size: int | None, hot: int) -> Vocabulary:
     """``counts``: a written table (word, c)."""
     rank = F.floor(F.log2(F.col("c").cast("double")) * 32).cast("int")
     sums = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("c")))).head()
+    size = size or size_for(sums[0] or 0)
     words = counts.where((F.length("word") > 0) & (F.length("word") <= 64)).withColumn("r", rank)
     # a histogram over the logarithm of the count tells from where on the words are few enough
     least, n = None, 0
@@ -113,13 +122,43 @@ def vocabulary(counts: DataFrame, size: int, hot: int) -> Vocabulary:
     return Vocabulary([w for w, _ in pairs], np.array([c for _, c in pairs], np.int64), sums[0] or 0, sums[1] or 0, size, sums[2] or 0)
 
 
-def bigrams(train: DataFrame, v: Vocabulary, shared) -> np.ndarray:
+class Pairs:
+    """Counts of (previous, next) model tokens; dense only a few rows at a time."""
+
+    def __init__(self, size: int, at: np.ndarray, n: np.ndarray):
+        order = np.argsort(at, kind="stable")
+        self.size, self.at, self.n = size, at[order].astype(np.int64), n[order].astype(float)
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Pairs:
+        at = np.flatnonzero(dense)
+        return cls(len(dense), at, dense.ravel()[at])
+
+    def rows(self, first: int, end: int) -> np.ndarray:
+        lo, hi = np.searchsorted(self.at, (first * self.size, end * self.size))
+        out = np.zeros((end - first) * self.size, np.float32)
+        out[self.at[lo:hi] - first * self.size] = self.n[lo:hi]
+        return out.reshape(-1, self.size)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """How often each token precedes, follows, and all."""
+        return np.bincount(self.at // self.size, self.n, self.size), np.bincount(self.at % self.size, self.n, self.size), float(self.n.sum())
+
+
+def merged(at: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts n at places, added up by place."""
+    where, of = np.unique(np.concatenate(at), return_inverse=True)
+    return where, np.bincount(of, np.concatenate(n), len(where)).astype(np.int64)
+
+
+def bigrams(train: DataFrame, v: Vocabulary, shared) -> Pairs:
     """The counts of (previous, next) model tokens over all rows of ``train``."""
     size = v.size
 
     def run(batches):
         v = shared.value
-        find, total, held, n = ranks(v).__getitem__, np.zeros(size * size, np.int64), [], 0
+        find, held, n = ranks(v).__getitem__, [], 0
+        at, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             for t in b.column("text").to_pylist():
                 place = np.fromiter(map(find, tokens(t)), np.int64)
@@ -127,19 +166,15 @@ def bigrams(train: DataFrame, v: Vocabulary, shared) -> np.ndarray:
                 ids[-1] = END_ID
                 held.append(np.concatenate([[END_ID], ids[:-1]]) * size + ids)
                 n += len(ids)
-                if n > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=size * size)
+                if n > 1_000_000:
+                    at, total = merged([at, *held], [total, np.ones(n, np.int64)])
                     held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=size * size)
-        at = np.flatnonzero(total)
+        at, total = merged([at, *held], [total, np.ones(n, np.int64)])
         for i in range(0, len(at), 100_000):
-            yield pa.record_batch({"pair": pa.array(at[i : i + 100_000].astype(np.int32)), "n": pa.array(total[at[i : i + 100_000]])})
+            yield pa.record_batch({"pair": pa.array(at[i : i + 100_000].astype(np.int32)), "n": pa.array(total[i : i + 100_000])})
 
-    got = train.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size)
-    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(size, size)
+    got = train.mapInArrow(tidy(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return Pairs(size, got.column("pair").to_numpy(), got.column("n").to_numpy())
 
 
 class LogBilinear:
@@ -149,12 +184,12 @@ class LogBilinear:
         self.q, self.r, self.b = q, r, b
 
     @classmethod
-    def fit(cls, pairs: np.ndarray, dim: int = 32, noise: float = 25.0, rounds: int = 60, rate: float = 0.1, seed: int = 10, rows: int = 512) -> LogBilinear:
+    def fit(cls, pairs: Pairs, dim: int = 32, noise: float = 25.0, rounds: int = 60, rate: float = 0.1, seed: int = 10, rows: int = 512) -> LogBilinear:
         """Adam on the exact noise-contrastive objective; noise is the smoothed unigram distribution."""
-        size, total = len(pairs), max(pairs.sum(), 1.0)
-        unigram = ((pairs.sum(0) + 1) / (pairs.sum() + size)).astype(np.float32)
-        context = (pairs.sum(1) / total).astype(np.float32)
-        data = (pairs / total).astype(np.float32)
+        size, (before, after, seen) = pairs.size, pairs.sums()
+        total = max(seen, 1.0)
+        unigram = ((after + 1) / (seen + size)).astype(np.float32)
+        context = (before / total).astype(np.float32)
         rng = np.random.default_rng(seed)
         p = [rng.normal(0, 0.1, (size, dim)).astype(np.float32), rng.normal(0, 0.1, (size, dim)).astype(np.float32), np.log(unigram)]
         m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
@@ -165,7 +200,7 @@ class LogBilinear:
             for i in range(0, size, rows):
                 s = slice(i, i + rows)
                 true = 1 / (1 + np.exp(np.clip(offset - b - q[s] @ r.T, -30, 30)))
-                d = data[s] * (1 - true) - noise * context[s, None] * unigram * true
+                d = pairs.rows(i, min(i + rows, size)) / np.float32(total) * (1 - true) - noise * context[s, None] * unigram * true
                 g[0][s] = d @ r
                 g[1] += d.T @ q[s]
                 g[2] += d.sum(0)
@@ -197,7 +232,7 @@ def _table(v: Vocabulary, model: LogBilinear) -> np.ndarray:
     return _TABLES[v.name]
 
 
-def score(docs: DataFrame, train: Column, size: int = 2048, hot: int = 262_144, dim: int = 32, rounds: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, size: int | None = None, hot: int = 262_144, dim: int = 32, rounds: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; ``train`` says which rows are learnt from."""
     spark = docs.sparkSession
     given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))

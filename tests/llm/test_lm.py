@@ -29,13 +29,21 @@ def test_table_is_normalised_and_learns():
     rng = np.random.default_rng(0)
     truth = rng.dirichlet(np.full(12, 0.3), 12)
     pairs = np.round(truth * 5000)
-    table = lm.LogBilinear.fit(pairs, dim=12, rounds=300).table()
+    table = lm.LogBilinear.fit(lm.Pairs.of(pairs), dim=12, rounds=300).table()
     assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
     unigram = np.log10(pairs.sum(0) / pairs.sum())
     best = (pairs * np.log10(np.maximum(truth, 1e-12))).sum()
     assert (pairs * table).sum() > 0.9 * best + 0.1 * (pairs * unigram).sum()
 
 
+def test_the_vocabulary_grows_with_the_corpus():
+    assert [lm.size_for(n) for n in (0, 1, 65_536, 65_537, 4_000_000, 10**7, 10**9)] == [256, 256, 256, 512, 2048, 4096, 4096]
+    dense = np.random.default_rng(1).integers(0, 3, (7, 7)).astype(float)
+    pairs = lm.Pairs.of(dense)
+    assert (pairs.rows(2, 5) == dense[2:5]).all() and all((a == b).all() for a, b in zip(pairs.sums(), (dense.sum(1), dense.sum(0), dense.sum()), strict=True))
+    assert [x.tolist() for x in lm.merged([np.array([5, 2]), np.array([2])], [np.array([1, 4]), np.array([3])])] == [[2, 5], [7, 1]]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs, F.lit(True), rounds=1).collect() == []

@@ -214,7 +214,7 @@ def test_lm_scores(spark, sf):
     train = [i for i in tokens if crc(i, 7) != 2]
     c = Counter(w for i in train for w in tokens[i])
     total, kinds = sum(c.values()), len(c)
-    words = sorted((w for w in c if w), key=lambda w: (-c[w], w))[:2046]
+    words = sorted((w for w in c if w), key=lambda w: (-c[w], w))[: lm.size_for(total) - 2]
     number = {b"": 0} | {w: n + 2 for n, w in enumerate(words)}
     size = len(words) + 2
     pairs = np.zeros((size, size))
@@ -222,7 +222,7 @@ def test_lm_scores(spark, sf):
     for i in train:
         for a, b in zip([0, *ids[i]], ids[i], strict=False):
             pairs[a, b] += 1
-    model = lm.LogBilinear.fit(pairs, 32, rounds=60)
+    model = lm.LogBilinear.fit(lm.Pairs.of(pairs), 32, rounds=60)
     q, r, b = (x.astype(float) for x in (model.q, model.r, model.b))
     known = {}
 
