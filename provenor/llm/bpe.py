@@ -14,7 +14,7 @@ followed by white space.
 
 Edge cases: null text counts as empty and has no tokens. Repeated rows and rows that share an
 identifier are encoded each. Other columns are ignored; an empty table gives an
-empty result.
+empty result. A long text without white space (as in scripts that write none) is one chunk.
 """
 
 from __future__ import annotations
@@ -154,7 +154,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 65
         for b in batches:
             for at in range(b.num_rows):
                 part = b.slice(at, 1)
-                # a repeated row's chunks are there as often as the row
                 chunks = {c["chunk"]: c for c in part.column("chunks").to_pylist()[0]}
                 times = part.column("times").to_pylist()[0]
                 ordered = [chunks[i] for i in range(len(chunks))]
@@ -172,5 +171,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 65
     p = partitions(docs.sparkSession)
     pieces = given.where(long).mapInArrow(chunked, f"doc_id {kind}, key string, chunk int, start long, sure long, piece string")
     pieces = pieces.repartition(p, "key", "chunk").mapInArrow(pretokenised, f"doc_id {kind}, key string, chunk int, sure long, bounds array<long>, sizes array<int>, ids array<int>")
-    joined = pieces.groupBy("doc_id", "key").agg(F.collect_list(F.struct("chunk", "sure", "bounds", "sizes", "ids")).alias("chunks"), F.count_if(F.col("chunk") == 0).alias("times"))
+    # a repeated row's chunks meet in one task: each is kept once, with how often it came
+    once = pieces.groupBy("doc_id", "key", "chunk").agg(F.first(F.struct("chunk", "sure", "bounds", "sizes", "ids")).alias("c"), F.count("*").alias("times"))
+    joined = once.groupBy("doc_id", "key").agg(F.collect_list("c").alias("chunks"), F.max("times").alias("times"))
     return given.where(~long).mapInArrow(whole, schema).unionByName(joined.mapInArrow(stitched, schema))

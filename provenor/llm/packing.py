@@ -230,6 +230,6 @@ def place(table: DataFrame, capacity: int) -> DataFrame:
     return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
-    return place(materialise(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "packing-pieces"), capacity)
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece; with ``ids`` also its token ids."""
+    return place(materialise(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, ids), "packing-pieces"), capacity)

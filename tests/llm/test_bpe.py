@@ -30,6 +30,14 @@ def test_whole_and_chunked_texts_match_the_reference(spark):
         assert got == want
 
 
+def test_long_repeats_and_copies(spark):
+    text = "ab cd " * 300
+    rows = [(1, text)] * 5 + [(2, text), (3, "x" + text)]
+    enc = reference()
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN, 40, 5).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == sorted((i, enc.encode_ordinary(t)) for i, t in rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, PATH, P.PATTERN, digests=True).collect() == []

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from provenor.llm import langid, lm, quality, queries, simhash, toxicity
+from provenor.llm import langid, lm, packing, quality, queries, simhash, toxicity
 from provenor.llm.common import fold
 from tests.llm.test_simhash import roots
 from tests.llm.test_substring_dedup import brute
@@ -179,6 +179,16 @@ def test_packing(spark, sf):
     assert max(room.values()) <= 4096 and len(room) == len(open_bins)
 
 
+def test_packed_sequences_can_be_laid_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    got = packing.pack(docs, P.path("word_bpe_49k.json"), 512, 1, ids=True).collect()
+    assert got and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    laid = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        laid.setdefault(r.sequence_id, []).extend(r.ids)
+    assert sum(map(len, laid.values())) == sum(r.length for r in got) and max(map(len, laid.values())) <= 512
+
+
 def test_exact_dedup(spark, sf):
     got = rows_of(spark, sf, "op8_exact_dedup")
     groups = {}
