@@ -345,9 +345,12 @@ def obfuscation_counts(spark, sf):
 
 @query()
 def identifier_normalise(spark, sf):
-    rows = [("domain", "Exаmple.COM."), ("lei", "5493001kjtiigc8y1r12"), ("cik", "320193"), ("cik", "00012345678901"), ("person_name", " J Doe ")]
-    df = spark.createDataFrame(rows, "kind string, raw string")
-    return df.select("kind", "raw", T.identifier_value(F.col("kind"), F.col("raw")).alias("value"), F.array_join(T.findings(F.col("raw"), F.col("kind").isin(*K.CASE_INSENSITIVE)), ",").alias("findings"))
+    """Addresses of pages, their hosts, and names of customers, as they were met and in their normal form."""
+    pages, customers = V.read(spark, sf, "pages"), V.read(spark, sf, "customer")
+    met = pages.select(F.lit("url").alias("kind"), F.col("url").alias("raw")).unionByName(pages.select(F.lit("domain").alias("kind"), F.concat(F.upper(F.parse_url("url", F.lit("HOST"))), F.lit(".")).alias("raw")))
+    met = met.unionByName(customers.select(F.lit("handle").alias("kind"), F.col("c_name").alias("raw"))).where("raw is not null").distinct()
+    x = met.withColumn("x", T.observed(F.col("kind"), F.col("raw")))
+    return x.select("kind", "raw", "x.value", "x.key", "x.was_obfuscated", F.array_join("x.findings", ",").alias("findings"))
 
 
 @query()

@@ -92,6 +92,16 @@ def test_split_keeps_cases_whole(spark):
     assert all((r.part == "test") == (r.case_ref in test) for r in rows)
 
 
+def test_identifiers_in_their_normal_form(spark):
+    rows = Q.QUERIES["identifier_normalise"](spark, SF).collect()
+    assert {r.kind for r in rows} == {"url", "domain", "handle"} and len(rows) > 100
+    for r in rows:
+        # the tables' values are plain ASCII without anything hidden
+        value = " ".join(r.raw.split()).lower()
+        value = value.rstrip(".") if r.kind in ("domain", "handle") else value
+        assert (r.value, r.key, r.was_obfuscated) == (value, f"{r.kind}:{value}", False)
+
+
 def test_digests_of_identifiers(spark):
     for r in Q.QUERIES["masked_identifiers"](spark, SF).join(V.read(spark, SF, "customer").select("c_custkey", "c_name"), "c_custkey").limit(20).collect():
         key = f"handle:{r.c_name}".encode()
