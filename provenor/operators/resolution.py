@@ -18,6 +18,8 @@ from provenor.scratch import scratch_dir
 MUST_NOT_LINK = "must-not-link"
 TOO_FEW_GROUPS = "insufficient independent evidence groups"
 TYPE_CONFLICT = "type conflict"
+#: No pair that is merged, nor the best of a cluster, has less, unless it is definitional or of one key: a probability of 0.8.
+INSIDE_LOG_ODDS = 1.386
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -149,7 +151,7 @@ def entity_attributes(placed: DataFrame) -> DataFrame:
 
 def resolve(claims: DataFrame, scored: DataFrame, idents: DataFrame, allowed: tuple[str, ...] = K.TYPE_RANK) -> tuple[DataFrame, DataFrame]:
     """Entities and rejections of scored claims; ``idents`` has case_ref, key, kind, value, first_pos."""
-    scored = checkpointed(scored)
+    scored = checkpointed(scored.where((F.col("log_odds") >= INSIDE_LOG_ODDS) | F.col("definitional") | (F.col("a") == F.col("b"))))
     merged = checkpointed(merge(scored, forbidden_pairs(claims)))
     return entities(membership(merged, idents), scored, claims, allowed), rejected(merged)
 
