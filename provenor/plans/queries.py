@@ -197,7 +197,7 @@ def must_not_link(spark, sf):
 
 @query(f"{WITH}{V.sql_pairs('day')} SELECT case_ref, a, b, round(log_odds, 6) AS log_odds FROM p WHERE log_odds >= 2.197")
 def mergeable_pairs(spark, sf):
-    return R.mergeable(_scored(spark, sf, True)).select("case_ref", "a", "b", r6("log_odds"))
+    return R.mergeable(_by_case(spark, sf, K.MERGE_LOG_ODDS)).select("case_ref", "a", "b", r6("log_odds"))
 
 
 @query(f"""WITH RECURSIVE {V.sql_pairs('day')}, m AS (SELECT case_ref, a, b FROM p WHERE log_odds >= 2.197 UNION SELECT case_ref, b, a FROM p WHERE log_odds >= 2.197),
