@@ -71,7 +71,7 @@ def test_levels_match_the_plain_aggregates(spark, monkeypatch, which):
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["assess_pairs", "group_aggregate", "independent_groups", "band_distribution", "headline_counts", "class_aggregate", "map_edges", "mergeable_pairs"])
+@pytest.mark.parametrize("name", ["assess_pairs", "group_aggregate", "independent_groups", "band_distribution", "headline_counts", "class_aggregate", "map_edges", "mergeable_pairs", "top_evidence"])
 def test_no_pair_is_shuffled(spark, name):
     plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "mapinarrow" in plan.lower()
