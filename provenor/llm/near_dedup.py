@@ -18,10 +18,13 @@ division by equal bits that loses none of them leaves a constant share of all pa
    0.8 a bit differs with a chance of 0.152, so a pair is lost with a chance below 1e-8; sets of fewer than
    ``SURE`` shingles, for which that does not hold, are not discarded, nor is anything below a ``least`` of 0.8.
 4. Survivors are verified on whole sets. Where texts of a large group are then still in different
-   components, all their pairs go the same way. So near copies by the thousand cost a line, not a square.
+   components, fingerprints travel with the group's rows and all its pairs are compared there: distances to pivots,
+   which are fingerprints of the group itself, discard first, then the bits. A forest of what is near leaves the group.
+   Its components are crowds; each text of a crowd travels there once with its whole set, and a forest of the similar
+   pairs leaves it. So no row is made for a pair, and no pair of different components is left out.
 
-What stays square is a large group of texts that share a shingle rare in the sample, or little else,
-and are not similar.
+What stays square is time, not rows: comparing bits, and then sets, of many texts that share a
+shingle rare in the sample and are near but not similar. One task holds a crowd's sets.
 
 Edge cases: null text counts as empty; texts without words are one class; texts with fewer words
 than a shingle are one shingle. Equal texts are one node throughout. Null identifiers are never the
@@ -119,7 +122,7 @@ def _groups(rows: DataFrame, run_group, columns: list[str], schema: str) -> Data
             return pa.record_batch({k: pa.array(np.concatenate(v)) for k, v in zip(names, zip(*out, strict=True), strict=True)})
 
         for b in batches:
-            held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, columns, strict=True)]
+            held = [np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, columns, strict=True)]
             last = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
             if len(last):
                 stop = int(last[-1]) + 1
@@ -186,17 +189,93 @@ def _candidates(rows: DataFrame, least: float, small: int) -> DataFrame:
     return _groups(rows, group, ["h", "node", "m"], "a long, b long, h long, m long")
 
 
+def pivot_table(prints: np.ndarray, n: int = 4) -> np.ndarray:
+    """The distances of a group's fingerprints (a row each) to some of its own, spread over its sizes."""
+    refs = prints[np.linspace(0, len(prints) - 1, n).astype(np.int64)]
+    return np.stack([np.bitwise_count(prints ^ r).sum(1, dtype=np.int16) for r in refs], 1)
+
+
+def _near_pairs(m: np.ndarray, root: np.ndarray, prints: np.ndarray, least: float):
+    """Index pairs of different components whose sizes, places and fingerprints allow the similarity.
+
+    Fingerprints whose distances to a pivot differ by more than ``RADIUS`` lie further apart than that, so the
+    table discards without loss; what it leaves is compared bit by bit.
+    """
+    table, sure = pivot_table(prints), (m >> 32) >= SURE
+    for i, j in _all_pairs(m, least):
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        if least >= 0.8:
+            for t in table.T:
+                near = (np.abs(t[i] - t[j]) <= RADIUS) | ~sure[i]
+                i, j = i[near], j[near]
+            near = (np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int16) <= RADIUS) | ~sure[i]
+            i, j = i[near], j[near]
+        yield i, j
+
+
+def forest(pairs, label: np.ndarray, alike=None) -> np.ndarray:
+    """Of index pairs that are ``alike(x, others)`` some, which join all components ``label`` that any of them joins."""
+    label, out = np.unique(label, return_inverse=True)[1], []
+    for i, j in pairs:
+        edge = np.flatnonzero(np.diff(i, prepend=-1))
+        for x, others in zip(i[edge].tolist(), np.split(j, edge[1:]), strict=False):
+            others = others[label[others] != label[x]]
+            if alike and len(others):
+                others = others[alike(x, others)]
+            # one link for each component that joins
+            joined, first = np.unique(label[others], return_index=True)
+            if len(joined):
+                out += [(x, y) for y in others[first].tolist()]
+                label[np.isin(label, joined)] = label[x]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def similar(sets: list[np.ndarray], least: float):
+    """``alike(x, others)`` of whole sets."""
+    long = np.array([len(x) for x in sets])
+    begin = long.cumsum() - long
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.zeros(int(flat.max()) + 1, np.int64)
+
+    def alike(x, others):
+        mine = flat[begin[x] : begin[x] + long[x]]
+        own[mine] = 1
+        size = long[others]
+        starts = size.cumsum() - size
+        both = np.add.reduceat(own[flat[np.arange(size.sum()) + np.repeat(begin[others] - starts, size)]], starts)
+        own[mine] = 0
+        return both + SLACK >= least * (long[x] + size - both)
+
+    return alike
+
+
+_LANES = [f"f{i}" for i in range(LANES)]
+
+
+def _linked(a: np.ndarray, links: np.ndarray):
+    if len(links):
+        x, y = a[links[:, 0]], a[links[:, 1]]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
 def _across(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of large groups' nodes (h, node, m, root) that are in different components."""
+    """A forest (a, b) of the near pairs of large groups (h, node, m, root, f0, ...) that are of different components."""
 
-    def group(h, a, m, root):
-        for i, j in _all_pairs(m, least):
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-            if len(i):
-                yield np.minimum(a[i], a[j]), np.maximum(a[i], a[j])
+    def group(h, a, m, root, *f):
+        yield from _linked(a, forest(_near_pairs(m, root, np.stack(f, 1).view(np.uint64), least), np.arange(len(a))))
+
+    return _groups(rows, group, ["h", "node", "m", "root", *_LANES], "a long, b long")
 
-    return _groups(rows, group, ["h", "node", "m", "root"], "a long, b long")
+
+def _links_across(rows: DataFrame, least: float) -> DataFrame:
+    """A forest (a, b) of the similar pairs of crowds (h, node, m, root, f0, ..., hashes), on whole sets."""
+
+    def group(h, a, m, root, *f):
+        pairs = _near_pairs(m, root, np.stack(f[:-1], 1).astype(np.int64).view(np.uint64), least)
+        yield from _linked(a, forest(pairs, root, similar([np.frombuffer(x, np.uint64) for x in f[-1]], least)))
+
+    return _groups(rows, group, ["h", "node", "m", "root", *_LANES, "hashes"], "a long, b long")
 
 
 def _node(text):
@@ -241,14 +320,23 @@ def fingerprints(docs: DataFrame, nodes: DataFrame, words: int, text_col: str) -
     return materialise(_of(docs, nodes, words, text_col, "n long" + "".join(f", f{i} long" for i in range(LANES)), of), "near-fingerprints")
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, least: float, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose fingerprints, and then whose whole sets, are similar."""
+def _sets(docs: DataFrame, nodes: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(node, hashes): the whole sets of ``nodes``."""
+    return materialise(_of(docs, nodes, words, text_col, "hashes binary", lambda sets: {"hashes": pa.array([h.tobytes() for h in sets], pa.binary())}), "near-sets")
+
+
+def _near(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose fingerprints are near."""
     side = lambda of: prints.select(F.col("node").alias(of), *[F.col(c).alias(f"{of}_{c}") for c in prints.columns if c != "node"])
     apart = sum((F.bit_count(F.col(f"a_f{i}").bitwiseXOR(F.col(f"b_f{i}"))) for i in range(LANES)), F.lit(0))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     if least >= 0.8:
         near = near.where((apart <= RADIUS) | (F.least("a_n", "b_n") < SURE))
-    near = materialise(near.select("a", "b"), "near-survivors")
+    return materialise(near.select("a", "b"), "near-survivors")
+
+
+def _verified(near: DataFrame, docs: DataFrame, words: int, least: float, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
 
     def verify(batches):
         for b in batches:
@@ -259,8 +347,7 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int,
                 same.append(both + SLACK >= least * (len(x) + len(y) - both))
             yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    nodes = near.select(F.explode(F.array("a", "b")).alias("v"))
-    sets = materialise(_of(docs, nodes, words, text_col, "hashes binary", lambda sets: {"hashes": pa.array([h.tobytes() for h in sets], pa.binary())}), "near-sets")
+    sets = _sets(docs, near.select(F.explode(F.array("a", "b")).alias("v")), words, text_col)
     full = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return materialise(full.select("a", "b", "x", "y").mapInArrow(tidy(verify), "a long, b long"), "near-links")
 
@@ -292,13 +379,18 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8, small: int = 8,
     pairs = materialise(counted.where("large or shared >= needed").select("a", "b"), "near-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("v")).unionByName(found.where("m > 0").select(F.col("a").alias("v")))
     prints = fingerprints(docs, nodes, words, text_col)
-    links = _verified(pairs, prints, docs, words, least, text_col)
+    links = _verified(_near(pairs, prints, least), docs, words, least, text_col)
     roots = components(links)
     release(spark)
-    large = found.where("m > 0").select("h", F.col("a").alias("node"), "m").join(roots, F.col("node") == F.col("v"), "left").select("h", "node", "m", F.coalesce("root", "node").alias("root"))
+    large = found.where("m > 0").select("h", F.col("a").alias("node"), "m").join(roots, F.col("node") == F.col("v"), "left").select("h", "node", "m", F.coalesce("root", "node").alias("root")).join(prints.drop("n"), "node")
     across = materialise(_across(large, least).distinct(), "near-across")
     if not across.isEmpty():
-        roots = components(links.unionByName(_verified(across, prints, docs, words, least, text_col)))
+        crowds = components(across).select(F.col("v").alias("node"), F.col("root").alias("h"))
+        sets = _sets(docs, crowds.select(F.col("node").alias("v")), words, text_col)
+        own = roots.select(F.col("v").alias("node"), "root")
+        whole = crowds.join(prints, "node").join(sets, "node").join(own, "node", "left")
+        whole = whole.withColumn("m", F.shiftleft("n", 32)).withColumn("root", F.coalesce("root", "node")).drop("n")
+        roots = components(links.unionByName(_links_across(whole, least)))
     table = docs.select(docs[id_col].alias("doc_id"), F.sha2(text, 256).alias("digest"), _node(text).alias("node"))
     named = table.join(roots, F.col("node") == F.col("v"), "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
     named = materialise(named, "near-roots")

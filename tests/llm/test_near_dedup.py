@@ -76,3 +76,39 @@ def test_repeats_and_nulls(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "A b c d e f"), (9, "q")], "doc_id long, text string")
     assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs).collect()) == [4, 9]
     assert near_dedup.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def test_a_large_group_yields_a_forest_with_every_link():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = []
+    for _ in range(150):
+        mine = base.copy()
+        at = rng.choice(60, rng.integers(2, 14), replace=False)
+        mine[at] = rng.integers(0, 2**63, len(at))
+        sets.append(np.unique(mine))
+    sets.sort(key=len)
+    m = np.array([len(x) << 32 for x in sets])
+    root = np.arange(150) // 2
+    pairs = [(i, j) for i in range(150) for j in range(i) if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))]
+
+    def parts(links):
+        label = root.copy()
+        for i, j in links:
+            label[label == label[i]] = label[j]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    links = near_dedup.forest(near_dedup._all_pairs(m, 0.8), root, near_dedup.similar(sets, 0.8)).tolist()
+    assert set(map(lambda x: (max(x), min(x)), links)) <= set(pairs) and len(links) < 75 < len(pairs)
+    assert parts(links) == parts(pairs) and 1 < len(parts(pairs)) < 75
+
+
+def test_pivots_discard_only_what_is_far():
+    import numpy as np
+
+    prints = np.random.default_rng(5).integers(0, 2**64, (40, near_dedup.LANES), np.uint64, endpoint=False)
+    table = near_dedup.pivot_table(prints).astype(int)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2, dtype=int)
+    assert (np.abs(table[:, None] - table[None]).max(2) <= apart).all() and (np.abs(table[:, None] - table[None]).max(2) > near_dedup.RADIUS).any()
