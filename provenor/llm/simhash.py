@@ -22,8 +22,8 @@ shares a pattern differs in two bits at most, and what differs in two shares one
 radii the division is split in parts of ``dense`` and every two parts are paired in a task
 of their own.
 
-Components come from minimum labels with pointer jumping, on distributed tables, until
-nothing changes. Equal fingerprints are one row throughout.
+Components come from contracting edges, on distributed tables, until none is left. Equal
+fingerprints are one row throughout.
 
 Edge cases: null text counts as empty; texts without words have fingerprint zero and are
 linked like any other; texts with fewer words than a shingle are one shingle.
@@ -198,18 +198,34 @@ def links(fps: DataFrame, radius: int = 2, dense: int = 8192) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(v, root) for each end of an edge: the least vertex that can be reached."""
-    edges = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "components-edges")
-    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")), "components-labels")
-    for _ in range(rounds):
-        near = edges.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        # follow the label's own label: distances halve
-        above = labels.select(F.col("v").alias("p"), F.col("root").alias("above"))
-        labels = materialise(lower.join(above, F.col("root") == F.col("p")).select("v", "old", F.least("root", "above").alias("root")), "components-labels")
-        if labels.where("old != root").isEmpty():
-            return labels.select("v", "root")
-    raise RuntimeError("components did not settle")
+    """(v, root) for each end of an edge: the least vertex that can be reached.
+
+    In each round every vertex goes to the first among itself and its neighbours, in an order drawn anew, and the edges
+    then run between the vertices gone to, each once and none from one to itself. A constant share of the vertices is left
+    by every round, whatever the graph and its identifiers, so tables and joins shrink from round to round.
+    """
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    steps = []
+    for t in range(rounds):
+        pairs = materialise(pairs, "components-edges")
+        if steps and pairs.isEmpty():
+            break
+        place = lambda c, t=t: F.struct(F.xxhash64(c, F.lit(t)).alias("place"), F.col(c).alias("v"))
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(place("b")).alias("first")).select(F.col("a").alias("v"), F.least("first", place("a"))["v"].alias("to"))
+        steps.append(materialise(first, "components-steps"))
+        side = lambda of, step=steps[-1]: step.select(F.col("v").alias(of), F.col("to").alias(f"{of}_to"))
+        moved = pairs.where("a != b").join(side("a"), "a").join(side("b"), "b").where("a_to != b_to")
+        pairs = moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
+    else:
+        raise RuntimeError("components did not settle")
+    found = steps.pop()
+    for step in reversed(steps):
+        after = found.select(F.col("v").alias("to"), F.col("to").alias("end"))
+        found = step.join(after, "to", "left").select("v", F.coalesce("end", "to").alias("to"))
+    found = materialise(found, "components-ends")
+    least = found.groupBy("to").agg(F.min("v").alias("root"))
+    return materialise(found.join(least, "to").select("v", "root"), "components-roots")
 
 
 def classes(docs: DataFrame, words: int = 5, radius: int = 2, dense: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

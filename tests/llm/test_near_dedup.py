@@ -78,6 +78,12 @@ def test_repeats_and_nulls(spark):
     assert near_dedup.drop_near_copies(docs.limit(0)).collect() == []
 
 
+def test_a_long_chain_of_near_copies_is_one_class(spark):
+    # each text is similar to the one before and the one after it only
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in range(8 * i, 8 * i + 90))) for i in range(400)], "doc_id long, text string")
+    assert {r.first.doc_id for r in near_dedup.classes(docs).collect()} == {0}
+
+
 def test_a_large_group_yields_a_forest_with_every_link():
     import numpy as np
 

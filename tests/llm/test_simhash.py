@@ -85,5 +85,47 @@ def test_pivots_lose_no_pair():
     assert len(set(joined.values())) == len(set(want.values()))
 
 
+def least_reachable(edges):
+    label = {v: v for e in edges for v in e}
+    while True:
+        new = dict(label)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
+def test_components_of_any_shape(spark):
+    rng = random.Random(2)
+    order = rng.sample(range(3000), 600)
+    shapes = [
+        list(zip(order, order[1:], strict=False)),
+        [(i + 1, i) for i in range(300)],
+        [(900, i) for i in range(300)] + [(1000, i + 1001) for i in range(300)],
+        [(rng.randrange(400), rng.randrange(400)) for _ in range(250)],
+        [(5, 5), (7, 6), (6, 7), (7, 7), (-(2**63), 2**63 - 1)],
+    ]
+    # told apart by their place, so that one run has them all
+    edges = [(a + i * 10_000 if i < 4 else a, b + i * 10_000 if i < 4 else b) for i, shape in enumerate(shapes) for a, b in shape]
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len({r.v for r in got}) and {r.v: r.root for r in got} == least_reachable(edges)
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_a_chain_write_rows_in_proportion_to_it(spark, monkeypatch):
+    written, write = [], simhash.materialise
+
+    def counted(df, name, *by):
+        out = write(df, name, *by)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    order = random.Random(3).sample(range(1000), 100)
+    simhash.components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")).collect()
+    assert sum(written) < 1000
+
+
 def test_empty_table(spark):
     assert simhash.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
