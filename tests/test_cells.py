@@ -88,3 +88,21 @@ def test_what_is_merged_needs_no_other_pairs(spark):
     want = {(r.case_ref, r.entity_id): (" ".join(r.identifiers), r.type, pytest.approx(r.log_odds, abs=1e-5)) for r in ents.collect()}
     got = {(r.case_ref, r.entity_id): (r.identifiers, r.type, r.log_odds) for r in Q.QUERIES["resolve_entities"](spark, "/root/testdata/sf0.01").collect()}
     assert len(got) > 100 and got == want
+
+
+def test_sums_against_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(3)
+    rows, against = [], {}
+    for i in range(40):
+        for k in range(3, 9):
+            for who in (f"handle:x{i}", f"handle:y{i}"):
+                reliability = rng.choice([1.0, 0.85, 0.65, 0.4, 0.2])
+                against.setdefault(who, []).append(-reliability * 4.0)
+                rows.append((who, "contradicts", f"service_id:k{i}-{k}", "negative_check", f"error|{who}", {"reliability": reliability, "weight": 1.0}))
+    rng.shuffle(rows)
+    want = {who: math.fsum(x) for who, x in against.items()}
+    as_of = F.lit(AS_OF).cast("timestamp")
+    c = claims(spark, rows)
+    for groups in (E.in_cells(c, as_of, level="group"), plain_levels(c, as_of)["group"]):
+        shared = groups.where("a like 'handle:x%' and b like 'handle:y%'").collect()
+        assert len(shared) == 80 and all(r.llr == want[r.gkey.split("|")[1]] for r in shared)
