@@ -106,3 +106,17 @@ def test_sums_against_do_not_depend_on_the_order_of_rows(spark):
     for groups in (E.in_cells(c, as_of, level="group"), plain_levels(c, as_of)["group"]):
         shared = groups.where("a like 'handle:x%' and b like 'handle:y%'").collect()
         assert len(shared) == 80 and all(r.llr == want[r.gkey.split("|")[1]] for r in shared)
+
+
+def test_blocks_travel_by_bands_and_lose_no_pair(spark, monkeypatch):
+    assert cells.bands(12, 8) == 6 and cells.bands(3, 8) == 3 and cells.bands(1, 8) == 1
+    # however many blocks there are, one travels as often as there are bands, and a band has so many blocks at most
+    assert cells.bands(24, 4) == 4 and cells.bands(600, 8) == math.ceil(600 / cells.BAND)
+    c, as_of = odd_claims(spark), F.lit(AS_OF).cast("timestamp")
+    want = plain_levels(c, as_of)
+    monkeypatch.setattr(cells, "blocks", lambda *_: 7)
+    monkeypatch.setattr(cells, "bands", lambda *_: 3)
+    for level, keys in (("group", [*KEYS, "gkey"]), ("class", [*KEYS, "class"])):
+        same(E.in_cells(c, as_of, level=level), want[level], list(cells.LEVELS[level]), keys)
+    whole = E.assess_pairs(c, as_of)
+    same(whole, want["pair"], [x for x in whole.columns if x != "top_evidence"], KEYS)
