@@ -1,6 +1,8 @@
 import math
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,23 @@ def test_blocks_travel_by_bands_and_lose_no_pair(spark, monkeypatch):
         same(E.in_cells(c, as_of, level=level), want[level], list(cells.LEVELS[level]), keys)
     whole = E.assess_pairs(c, as_of)
     same(whole, want["pair"], [x for x in whole.columns if x != "top_evidence"], KEYS)
+
+
+def test_legs_are_packed_close_and_whole():
+    rng = random.Random(1)
+    legs = [{"sb": i % 2, "gkey": f"view|u{rng.randrange(1500)}", "object_key": f"service_id:k{rng.randrange(90)}-d20240101", "pos": i} for i in range(60_000)]
+    t = pa.Table.from_pylist(legs, pa.schema([("sb", pa.int32()), ("gkey", pa.string()), ("object_key", pa.string()), ("pos", pa.int64())]))
+    got, size, plain = [], 0, 0
+    for b in cells._packed(t.to_batches(max_chunksize=7000)):
+        for i, blob in zip(b["i"].to_pylist(), b["blob"].to_pylist(), strict=True):
+            got += [x | {"sb": i} for x in pa.ipc.open_stream(blob).read_all().to_pylist()]
+            size += len(blob)
+    assert sorted(got, key=lambda x: x["pos"]) == legs
+    for i in (0, 1):
+        own = t.filter(pc.equal(t["sb"], i)).drop_columns("sb").combine_chunks()
+        own = pa.table({c: own[c].combine_chunks().dictionary_encode() if pa.types.is_string(own[c].type) else own[c] for c in own.column_names})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(own)
+        plain += sink.getvalue().size
+    assert size < 0.85 * plain, size / plain
