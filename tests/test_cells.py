@@ -142,3 +142,14 @@ def test_legs_are_packed_close_and_whole():
             w.write_table(own)
         plain += sink.getvalue().size
     assert size < 0.85 * plain, size / plain
+
+
+def test_claims_are_dealt_out_by_object_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.QUERIES["class_aggregate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    # holders by object and subject and then by object, claims by object, legs by block, blocks by task
+    assert len(dealt) <= 5 and not any("gkey#" in line for line in dealt), dealt
