@@ -141,6 +141,11 @@ def _by_case(spark, sf, floor):
     return _banded(spark, sf, "case_ref", "a", "b", "pair_ord", by_day=True, floor=floor)
 
 
+def _scored(spark, sf, by_day=False):
+    """All pairs of the events with all their columns."""
+    return E.assess_pairs(V.claims_events(spark, sf, by_day), V.as_of(), ascii_only=True)
+
+
 PAIRS = WITH + V.sql_pairs()
 
 
